@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkflow.llm import bpe, pii, secrets
+from chunkflow.llm import bpe, langid, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_langid": langid.op2_langid,
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
 }
