@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkflow.llm import bpe, langid, pii, secrets
+from chunkflow.llm import bpe, langid, pii, secrets, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_langid": langid.op2_langid,
+    "op4_token_counts": tokencount.op4_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
 }
