@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkflow.llm import bpe, langid, pii, secrets, tokencount, toxicity
+from chunkflow.llm import bpe, langid, minhash, pii, secrets, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_pii": pii.op7_pii,
+    "op10_near_duplicates": minhash.op10_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.ORACLE_SQL,

@@ -67,7 +67,7 @@ class Words:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of runs of ``size`` words, and their texts; the whole sequence where a text has fewer."""
+        """Texts and hashes of runs of ``size`` words; the whole sequence where a text has fewer."""
         h, n = self.hashes, len(self.hashes)
         ends = np.cumsum(self.per)
         left = np.repeat(ends, self.per) - np.arange(n)  # words from here to the end of the text
@@ -86,13 +86,19 @@ class Words:
             out, text = np.concatenate([out, whole]), np.concatenate([self.text[first], short])
         else:
             text = self.text[first]
-        return out, text
+        return text, out
 
 
 def distinct(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs, sorted by text and value."""
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
+    if len(text) and (text[1:] < text[:-1]).any():
+        order = np.argsort(text, kind="stable")
+        text, value = text[order], value[order]
+    else:
+        value = value.copy()
+    edges = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])).tolist() if len(text) else []
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        value[first:last].sort()
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     return text[new], value[new]
