@@ -50,8 +50,12 @@ class Table:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """What Catalyst expects the input to weigh, from file sizes; sets numbers of buckets, never what is computed."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """What Catalyst expects the input to weigh, from file sizes; sets numbers of buckets, never what is computed.
+
+    Where Catalyst has no idea, 4 KB a row.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.count() << 12
 
 
 def collect_garbage(spark: SparkSession) -> None:
