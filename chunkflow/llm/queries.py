@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkflow.llm import bpe, flatgraph, langid, minhash, pii, secrets, suffixdedup, tokencount, toxicity
+from chunkflow.llm import bpe, decontam, flatgraph, langid, minhash, pii, secrets, suffixdedup, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": secrets.op1_secrets,
     "op2_langid": langid.op2_langid,
+    "op3_decontamination": decontam.op3_decontamination,
     "op4_token_counts": tokencount.op4_token_counts,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
