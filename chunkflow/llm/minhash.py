@@ -6,9 +6,10 @@ are less than those of later ones, the least bid of a bin is its coordinate, and
 the first round in which all of its bins are full. Coordinates of two texts agree with a probability of their similarity.
 
 Texts with equal sets form a class, and only the least document of a class goes on. Classes that agree
-in a band of coordinates meet in a bucket. A bucket does not emit its pairs: all meet its least member
-first, then those in other components than the leaders so far meet the next leader, and what is still
-apart after ``LEADERS`` rounds is compared pair by pair. Candidates are confirmed on full sets.
+in a band of coordinates meet in a bucket. A bucket does not emit its pairs: all first meet its leader,
+the member whose buckets are the fullest, which in a family of copies is the text they come from. Where a
+bucket still holds several components, the sketches of members in different ones are compared within
+tasks, block against block, and only pairs that agree well leave them. All candidates are confirmed on full sets.
 
 Words are maximal runs of anything but space and \\t to \\r, A-Z lower-cased. A set holds the distinct
 runs of ``size`` words, or the whole sequence where there are fewer.
@@ -33,11 +34,12 @@ from chunkflow.llm.components import components
 from chunkflow.llm.scratch import Table
 from chunkflow.llm.words import BASE, Words, distinct, mix
 
-#: Coordinates; rows of a band: at a similarity of 0.8 one pair in 5000 shares no band.
-T, ROWS = 64, 4
-#: Share of agreeing coordinates under which a candidate is not looked at: five standard errors under 0.8.
-LEAST_AGREEMENT = 0.55
-LEADERS = 3
+#: Coordinates; bands and their rows: at a similarity of 0.8 one pair in 5000 shares no band.
+T, BANDS, ROWS = 128, 16, 4
+#: Share of agreeing coordinates under which a candidate is not looked at: four and a half standard errors under 0.8.
+LEAST_AGREEMENT = 0.64
+#: Members of a block.
+SIDE = 1024
 #: Up to so many ids (8 bytes each) are sent to all executors; beyond, rows are shuffled to them.
 BROADCAST_IDS = 1_000_000
 SIGNATURE = "doc_id long, n_shingles long, s1 long, s2 long, sketch binary, bands array<long>"
@@ -71,10 +73,10 @@ def signature(texts: list[str | None], size: int) -> dict[str, np.ndarray]:
     sums = [np.concatenate([[0], np.cumsum(mix(value * np.uint64(k) + np.uint64(k)), dtype=np.uint64)]).astype(np.uint64) for k in (BASE, BASE ^ 0x5555555555555554)]
     s1, s2 = (s[first + per] - s[first] for s in sums)
     sk = sketches(text, value, n)
-    bands = np.zeros((n, T // ROWS), np.uint64)
+    bands = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
-        bands = mix(bands + sk[:, r::ROWS]) * np.uint64(BASE)
-    bands = mix(bands + np.arange(T // ROWS, dtype=np.uint64))
+        bands = mix(bands + sk[:, r : BANDS * ROWS : ROWS]) * np.uint64(BASE)
+    bands = mix(bands + np.arange(BANDS, dtype=np.uint64))
     return {"n": per, "s1": s1.view(np.int64), "s2": s2.view(np.int64), "sketch": sk, "bands": bands.view(np.int64)}
 
 
@@ -86,7 +88,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 s, n = signature(texts[a:b], size), b - a
                 small = (s["sketch"] >> np.uint64(3)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), pa.array(s["n"]), pa.array(s["s1"]), pa.array(s["s2"]), pa.array([r.tobytes() for r in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (T // ROWS)), pa.array(s["bands"].ravel()))],
+                    [batch.column("doc_id").slice(a, n), pa.array(s["n"]), pa.array(s["s1"]), pa.array(s["s2"]), pa.array([r.tobytes() for r in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(s["bands"].ravel()))],
                     names=["doc_id", "n_shingles", "s1", "s2", "sketch", "bands"],
                 )
 
@@ -138,6 +140,37 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _apart(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members(band, rep, n, c, sketch, n_shingles)`` of a band, in different components, whose sketches agree.
+
+    A band of n members is cut in blocks of about ``SIDE``; a task has two blocks.
+    """
+    blocks = F.ceil(F.col("n") / SIDE).cast("int")
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("band", "rep", "c", "sketch", "n_shingles", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, c, own, size = (table.column(k).to_numpy() for k in ("rep", "c", "own", "n_shingles"))
+        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = []
+        for s in range(0, len(left), 256):
+            x = left[s : s + 256]
+            near = np.zeros((len(x), len(right)), np.uint8)
+            for t in range(T):
+                near += sk[x, t][:, None] == sk[right, t][None, :]
+            small, large = np.minimum(size[x][:, None], size[right]), np.maximum(size[x][:, None], size[right])
+            p, q = np.nonzero((near >= LEAST_AGREEMENT * T) & (c[x][:, None] != c[right][None, :]) & (100 * small >= percent * large))
+            found.append((rep[x[p]], rep[right[q]]))
+        a, b = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return spread.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+
+
 class NearDuplicates:
     """``link(docs)`` gives (doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
 
@@ -156,11 +189,14 @@ class NearDuplicates:
             self.sets.append(Table(shingle_sets(rows, self.size), "sets"))
         wanted.drop()
 
-    def _confirm(self, pairs: DataFrame, reps: DataFrame) -> Table:
-        """Of candidate ``pairs(a, b)``, those that are links."""
+    def _confirm(self, pairs: DataFrame, reps: DataFrame, agreed: bool = False) -> Table:
+        """Of candidate ``pairs(a, b)``, those that are links; ``agreed``: their sketches have been compared."""
         side = lambda k, s: reps.select(F.col("rep").alias(k), F.col("sketch").alias(s), F.col("n_shingles").alias(f"n{k}"))
-        seen = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-        likely = Table(_agreeing(seen.select("a", "b", "x", "y")).distinct(), "likely")
+        if agreed:
+            likely = Table(pairs, "likely")
+        else:
+            seen = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+            likely = Table(_agreeing(seen.select("a", "b", "x", "y")), "likely")
         self._sets(likely.df.select(F.col("a").alias("id")).union(likely.df.select("b")).distinct())
         if not self.sets:
             return likely
@@ -178,47 +214,27 @@ class NearDuplicates:
         # The sketch and bands of a class are those of any member, its sets being equal.
         reps = Table(sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes").df
         members = reps.select("rep", F.explode("bands").alias("band")).distinct()
-        shared = members.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").drop("last")
-        bucket = Table(members.join(shared, "band"), "buckets").df
-        links = self._confirm(bucket.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), reps).df
+        filled = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+        bucket = Table(members.join(filled, "band"), "buckets").df
+        fame = bucket.groupBy("rep").agg(F.sum("n").alias("fame"))
+        leaders = bucket.join(fame, "rep").groupBy("band").agg(F.max(F.struct("fame", F.negative("rep").alias("back"))).alias("l")).select("band", F.negative("l.back").alias("leader"))
+        first = bucket.join(leaders, "band").filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        links = self._confirm(first, reps).df
         comp = components(links)
         # Buckets of two are settled: their only pair has been compared.
-        open_ = bucket.groupBy("band").agg(F.count("*").alias("n")).filter("n > 2").select("band")
-        state = Table(self._labelled(bucket.join(open_, "band", "left_semi"), comp), "state").df
-        for k in range(LEADERS + 1):
-            apart = state.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-            state = state.join(apart, "band", "left_semi")
-            if k < LEADERS:
-                # The least member outside the leaders' components leads next, against all others.
-                rest = state.groupBy("band").agg(F.min(F.when(~F.col("led"), F.struct("rep", "c"))).alias("l")).filter("l IS NOT NULL").select("band", F.col("l.rep").alias("next"), F.col("l.c").alias("nc"))
-                state = Table(state.join(rest, "band").withColumn("led", F.col("led") | (F.col("c") == F.col("nc"))), "state").df
-                pairs = state.filter("c <> nc AND rep <> leader").select(F.least("next", "rep").alias("a"), F.greatest("next", "rep").alias("b"))
-            else:
-                x = state.select("band", F.col("rep").alias("a"), F.col("c").alias("ca"))
-                pairs = x.join(state.select("band", F.col("rep").alias("b"), F.col("c").alias("cb")), "band").filter("a < b AND ca <> cb").select("a", "b")
-            if state.isEmpty():
-                break
-            more = self._confirm(pairs.distinct(), reps).df
-            if not more.isEmpty():
-                links = links.union(more)
-                comp = components(links)
-            state = Table(self._labelled(state.drop("next", "nc", "c"), comp), "state").df
+        wide = bucket.filter("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+        apart = Table(wide, "labelled").df
+        open_ = apart.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
+        apart = apart.join(open_, "band", "left_semi").join(reps.select("rep", "sketch", "n_shingles"), "rep")
+        more = self._confirm(_apart(apart, self.percent).distinct(), reps, agreed=True).df
+        if not more.isEmpty():
+            comp = components(links.union(more))
         by_class = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
         by_class = Table(by_class, "by-class").df
         out = sig.select("doc_id", "n_shingles", "s1", "s2").join(by_class, ["s1", "s2"], "left")
         own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
         return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-    @staticmethod
-    def _labelled(state: DataFrame, comp: DataFrame) -> DataFrame:
-        """Adds ``c``, the component of each member, and ``led`` for the members in the first leader's."""
-        own = comp.select(F.col("id").alias("rep"), F.col("component").alias("c"))
-        out = state.join(own, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        lead = comp.select(F.col("id").alias("leader"), F.col("component").alias("lc"))
-        led = F.col("c") == F.coalesce("lc", "leader")
-        out = out.join(lead, "leader", "left")
-        return out.withColumn("led", F.col("led") | led if "led" in state.columns else led).drop("lc")
-
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
