@@ -247,8 +247,17 @@ def has_previous_factor(data: np.ndarray, at: np.ndarray, doc: np.ndarray, lengt
     return out
 
 
-SEGMENTS = pa.schema([("to", pa.int32()), ("part", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("windows", pa.binary()), ("data", pa.binary()), ("groups", pa.binary())])
-SEGMENTS_SQL = "to int, part int, names binary, docs binary, places binary, windows binary, data binary, groups binary"
+SEGMENTS = pa.schema([("to", pa.int32()), ("part", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("windows", pa.binary()), ("data", pa.binary())])
+SEGMENTS_SQL = "to int, part int, names binary, docs binary, places binary, windows binary, data binary"
+
+
+def _z(x: np.ndarray) -> bytes:
+    raw = x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unz(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -276,14 +285,14 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], top[np.append(at[1:], len(doc)) - 1]
 
 
-def _gone(part: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple]:
-    """Rows of removed intervals, one for each group of documents."""
+def _gone(part: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int = 1) -> list[tuple]:
+    """Rows of removed intervals, one for each group of documents; they ask nothing, so have no names."""
     order = np.argsort(part, kind="stable")
     part, doc, start, end = part[order], doc[order], start[order], end[order]
     rows = []
     for a, b in _ranges(part):
         d, s, e = _merged(doc[a:b], start[a:b], end[a:b])
-        rows.append((-1, int(part[a]), b"", d.tobytes(), s.tobytes(), (e - s).astype(np.int64).tobytes(), b"", b""))
+        rows.append((int(part[a]) % buckets, int(part[a]), b"", _z(d), _z(s), _z((e - s).astype(np.int64)), b""))
     return rows
 
 
@@ -304,7 +313,7 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Segments that ask for earlier copies (``to`` a bucket), and intervals known to go (``to`` -1)."""
+    """Segments that ask the bucket ``to`` for earlier copies, and intervals known to go, which pass through it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         flagged, names = _unpack(right)
@@ -336,14 +345,14 @@ def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int) -> D
             least = np.full(cls.max(initial=-1) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, cls, doc)
             late = doc > least[cls]
-            rows += _gone(np.full(int(late.sum()), part), doc[late], place[late], place[late] + size[late])
+            rows += _gone(np.full(int(late.sum()), part), doc[late], place[late], place[late] + size[late], buckets)
             ask = np.flatnonzero(~late)
             bucket = (mix(name[ask]) % np.uint64(buckets)).astype(np.int64)
             ask = ask[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
             for a, b in _ranges(bucket):
                 k = ask[a:b]
-                rows.append((int(bucket[a]), part, name[k].tobytes(), doc[k].tobytes(), place[k].tobytes(), wins[k].astype(np.int64).tobytes(), gather(data, start[k], size[k]).tobytes(), np.full(len(k), part, np.int32).tobytes()))
+                rows.append((int(bucket[a]), part, _six(name[k] >> MIX48), _z(doc[k]), _z(place[k]), _z(wins[k].astype(np.int64)), _z(gather(data, start[k], size[k]))))
         return pa.Table.from_batches([_batch(rows, SEGMENTS)])
 
     return docs.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(run, SEGMENTS_SQL)
@@ -353,8 +362,16 @@ def _settled(asked: DataFrame, length: int) -> DataFrame:
     """Intervals that go, from the segments of a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        cat = lambda k, t: np.frombuffer(b"".join(table.column(k).to_pylist()), t)
-        name, doc, place, wins, data, part = cat("names", np.uint64), cat("docs", np.int64), cat("places", np.int64), cat("windows", np.int64), cat("data", np.uint8), cat("groups", np.int32)
+        asks = np.array([len(b) > 0 for b in table.column("names").to_pylist()], bool)
+        passed = table.filter(pa.array(~asks)).select(["part", "docs", "places", "windows"])
+        table = table.filter(pa.array(asks))
+        if not table.num_rows:
+            return passed
+        cat = lambda k, t: np.frombuffer(b"".join(map(_unz, table.column(k).to_pylist())), t)
+        doc, place, wins, data = cat("docs", np.int64), cat("places", np.int64), cat("windows", np.int64), cat("data", np.uint8)
+        names = table.column("names").to_pylist()
+        name = _from_six(b"".join(names))
+        part = np.repeat(table.column("part").to_numpy(), [len(b) // 6 for b in names])
         size = wins + length - 1
         start = np.cumsum(size) - size
         cls = content_classes(data, start, size)
@@ -389,7 +406,8 @@ def _settled(asked: DataFrame, length: int) -> DataFrame:
                 k, off = k[ok], off[ok]
                 p = place[copies][k] + off
                 out.append((part[copies][k], doc[copies][k], p, p + length))
-        return pa.Table.from_batches([_batch(_gone(*(np.concatenate(x) for x in zip(*out, strict=True))), SEGMENTS)]).select(["part", "docs", "places", "windows"])
+        settled = pa.Table.from_batches([_batch(_gone(*(np.concatenate(x) for x in zip(*out, strict=True))), SEGMENTS)])
+        return pa.concat_tables([passed, settled.select(["part", "docs", "places", "windows"])])
 
     return asked.groupBy("to").applyInArrow(run, "part int, docs binary, places binary, windows binary")
 
@@ -400,7 +418,7 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         valid = left.column("doc_id").is_valid().to_pylist()
         ids, raw, base = _texts(left)
-        cat = lambda k: np.frombuffer(b"".join(right.column(k).to_pylist()), np.int64)
+        cat = lambda k: np.frombuffer(b"".join(map(_unz, right.column(k).to_pylist())), np.int64)
         doc, start = cat("docs"), cat("places")
         doc, start, end = _merged(doc, start, start + cat("windows"))
         rows = []
@@ -432,10 +450,8 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     placed = docs.withColumn("part", part.cast("int"))
     flags = Table(_repeated_names(_names(docs, length, buckets, groups), groups), "names")
     collect_garbage(spark)
-    found = Table(_segments(placed, flags.df, length, buckets), "segments")
-    flags.drop()
-    collect_garbage(spark)
-    gone = found.df.filter("to < 0").select("part", "docs", "places", "windows").unionByName(_settled(found.df.filter("to >= 0"), length))
+    # The texts are dealt to their groups once: both cogroups read the same exchange.
+    gone = _settled(_segments(placed, flags.df, length, buckets), length)
     return _cut(placed, gone)
 
 
