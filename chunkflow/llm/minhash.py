@@ -8,8 +8,9 @@ the first round in which all of its bins are full. Coordinates of two texts agre
 Texts with equal sets form a class, and only the least document of a class goes on. Classes that agree
 in a band of coordinates meet in a bucket. A bucket does not emit its pairs: all first meet its leader,
 the member whose buckets are the fullest, which in a family of copies is the text they come from. Where a
-bucket still holds several components, the sketches of members in different ones are compared within
-tasks, block against block, and only pairs that agree well leave them. All candidates are confirmed on full sets.
+bucket still holds several components, members of different ones are compared within tasks, block against
+block: sketches first, then full sets, in the first bucket that a pair shares. Only links that join
+something leave a task. All links are confirmed on full sets.
 
 Words are maximal runs of anything but space and \\t to \\r, A-Z lower-cased. A set holds the distinct
 runs of ``size`` words, or the whole sequence where there are fewer.
@@ -140,33 +141,76 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets ``left[i]`` and ``right[j]`` where ``near`` holds, 0 elsewhere."""
+    out = np.zeros(near.shape, np.int64)
+    p, q = np.nonzero(near)
+    if len(p) <= 64:
+        for i, j in zip(p, q, strict=True):
+            out[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        return out
+    i, j = np.unique(p), np.unique(q)
+    x, y = [left[k] for k in i], [right[k] for k in j]
+    vocab, col = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    both = (np.bincount(col[row < len(x)], minlength=len(vocab)) > 0) & (np.bincount(col[row >= len(x)], minlength=len(vocab)) > 0)
+    place = np.cumsum(both) - 1
+    used = both[col]
+    row, col = row[used], place[col[used]]
+    found = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, int(both.sum()), 2048):  # incidence matrices, some columns at a time
+        m = np.zeros((len(x) + len(y), 2048), np.float32)
+        at = (col >= c) & (col < c + 2048)
+        m[row[at], col[at] - c] = 1
+        found += m[: len(x)] @ m[len(x) :].T
+    out[np.ix_(i, j)] = found.round().astype(np.int64)
+    return np.where(near, out, 0)
+
+
 def _apart(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``members(band, rep, n, c, sketch, n_shingles)`` of a band, in different components, whose sketches agree.
+    """Links (a, b) between members of a band that were in different components.
 
-    A band of n members is cut in blocks of about ``SIDE``; a task has two blocks.
+    ``members`` has band, slot, rep, n, c, sketch, bands, n_shingles and set. A band of n members is cut
+    in blocks of about ``SIDE`` and a task has two blocks. A pair that shares an earlier band met there.
     """
     blocks = F.ceil(F.col("n") / SIDE).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("band", "rep", "c", "sketch", "n_shingles", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    spread = spread.select("band", "slot", "rep", "c", "sketch", "bands", "n_shingles", "set", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
         rep, c, own, size = (table.column(k).to_numpy() for k in ("rep", "c", "own", "n_shingles"))
         sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
+        slot, i, j = (table.column(k)[0].as_py() for k in ("slot", "i", "j"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
+        parent = np.arange(len(rep))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        a, b = [], []
         for s in range(0, len(left), 256):
             x = left[s : s + 256]
             near = np.zeros((len(x), len(right)), np.uint8)
             for t in range(T):
                 near += sk[x, t][:, None] == sk[right, t][None, :]
             small, large = np.minimum(size[x][:, None], size[right]), np.maximum(size[x][:, None], size[right])
-            p, q = np.nonzero((near >= LEAST_AGREEMENT * T) & (c[x][:, None] != c[right][None, :]) & (100 * small >= percent * large))
-            found.append((rep[x[p]], rep[right[q]]))
-        a, b = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            ok = (near >= LEAST_AGREEMENT * T) & (c[x][:, None] != c[right][None, :]) & (100 * small >= percent * large)
+            for t in range(slot):
+                ok &= bands[x, t][:, None] != bands[right, t][None, :]
+            common = _common([sets[k] for k in x], [sets[k] for k in right], ok)
+            p, q = np.nonzero(ok & (100 * common >= percent * (small + large - common)))
+            for k, m in zip(x[p].tolist(), right[q].tolist(), strict=True):
+                u, v = root(k), root(m)
+                if u != v:
+                    parent[v] = u
+                    a.append(rep[k])
+                    b.append(rep[m])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -189,20 +233,21 @@ class NearDuplicates:
             self.sets.append(Table(shingle_sets(rows, self.size), "sets"))
         wanted.drop()
 
-    def _confirm(self, pairs: DataFrame, reps: DataFrame, agreed: bool = False) -> Table:
-        """Of candidate ``pairs(a, b)``, those that are links; ``agreed``: their sketches have been compared."""
+    def _all_sets(self) -> DataFrame:
+        sets = self.sets[0].df
+        for t in self.sets[1:]:
+            sets = sets.union(t.df)
+        return sets
+
+    def _confirm(self, pairs: DataFrame, reps: DataFrame) -> Table:
+        """Of candidate ``pairs(a, b)``, those that are links."""
         side = lambda k, s: reps.select(F.col("rep").alias(k), F.col("sketch").alias(s), F.col("n_shingles").alias(f"n{k}"))
-        if agreed:
-            likely = Table(pairs, "likely")
-        else:
-            seen = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
-            likely = Table(_agreeing(seen.select("a", "b", "x", "y")), "likely")
+        seen = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)")
+        likely = Table(_agreeing(seen.select("a", "b", "x", "y")), "likely")
         self._sets(likely.df.select(F.col("a").alias("id")).union(likely.df.select("b")).distinct())
         if not self.sets:
             return likely
-        sets = self.sets[0].df
-        for t in self.sets[1:]:
-            sets = sets.union(t.df)
+        sets = self._all_sets()
         of = lambda k, s: sets.select(F.col("id").alias(k), F.col("set").alias(s))
         found = Table(_similar(likely.df.join(of("b", "y"), "b").join(of("a", "x"), "a").select("a", "b", "x", "y"), self.percent).distinct(), "links")
         likely.drop()
@@ -213,7 +258,7 @@ class NearDuplicates:
         sig = Table(signatures(docs, self.size), "signatures").df
         # The sketch and bands of a class are those of any member, its sets being equal.
         reps = Table(sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes").df
-        members = reps.select("rep", F.explode("bands").alias("band")).distinct()
+        members = reps.select("rep", F.posexplode("bands").alias("slot", "band")).distinct()
         filled = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
         bucket = Table(members.join(filled, "band"), "buckets").df
         fame = bucket.groupBy("rep").agg(F.sum("n").alias("fame"))
@@ -225,10 +270,14 @@ class NearDuplicates:
         wide = bucket.filter("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
         apart = Table(wide, "labelled").df
         open_ = apart.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-        apart = apart.join(open_, "band", "left_semi").join(reps.select("rep", "sketch", "n_shingles"), "rep")
-        more = self._confirm(_apart(apart, self.percent).distinct(), reps, agreed=True).df
-        if not more.isEmpty():
-            comp = components(links.union(more))
+        apart = Table(apart.join(open_, "band", "left_semi"), "apart").df
+        self._sets(apart.select(F.col("rep").alias("id")).distinct())
+        if self.sets:
+            # An id with several texts has a class and a set for each; the pairs of all of them are its own.
+            full = apart.join(reps.select("rep", "sketch", "bands", "n_shingles"), "rep").join(self._all_sets().select(F.col("id").alias("rep"), "set"), "rep").filter("octet_length(set) = 8 * n_shingles")
+            more = Table(_apart(full, self.percent), "more").df
+            if not more.isEmpty():
+                comp = components(links.union(more))
         by_class = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
         by_class = Table(by_class, "by-class").df
         out = sig.select("doc_id", "n_shingles", "s1", "s2").join(by_class, ["s1", "s2"], "left")
