@@ -8,7 +8,8 @@ Built-in functions only: no Python runs on the executors.
 
 Defined results: a null text is the empty blob; a null path is a path like any other; a path that
 occurs in several versions or repeated rows gets a row for each; empty input gives an empty result;
-further columns of the input are not read. A replayed scan finds nothing due and adds no batch rows.
+further columns of the input are kept, ones named ``blob``
+or ``spans`` replaced. A replayed scan finds nothing due and adds no batch rows.
 """
 
 from __future__ import annotations
@@ -84,9 +85,9 @@ def findings(spark: SparkSession, versions: DataFrame, ledger: str, content: str
     order = {r.kind: n for n, r in enumerate(rules)}
     rank = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
     by_blob = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode("spans").alias("s")).filter(F.col("s.kind").isin(list(order)))
-    by_blob = by_blob.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), rank[F.col("s.kind")].alias("ord"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind")))).alias("spans"))
+    by_blob = by_blob.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), rank[F.col("s.kind")].alias("ord"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind")))).alias("_spans"))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
-    return address(versions, content).join(by_blob, "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    return address(versions, content).join(by_blob, "blob", "left").withColumn("spans", F.coalesce("_spans", none)).drop("_spans")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
