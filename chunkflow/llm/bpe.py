@@ -26,13 +26,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Code points worked on at a time (a longer text is worked on by itself); pieces, and characters in
 #: them, that the cache holds; longest piece, in bytes, that is merged together with others.
-CHUNK, CACHED, CACHED_CHARS, TOGETHER = 1 << 20, 300_000, 4 << 20, 128
+CHUNK, CACHED, CACHED_CHARS, TOGETHER = 1 << 19, 200_000, 3 << 20, 128
 NONE = np.int32(2**31 - 1)
 
 # Symbols and states of the automaton.
@@ -354,6 +355,21 @@ def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, i
         yield first, len(texts)
 
 
+def parts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with their texts, about ``CHUNK`` bytes each: a batch is never all in Python at once."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > CHUNK:
+            part = batch.slice(first, i - first)
+            yield part, part.column(text).to_pylist()
+            first, size = i, 0
+        size += n
+    if first < batch.num_rows:
+        part = batch.slice(first)
+        yield part, part.column(text).to_pylist()
+
+
 def _with_columns(batch: pa.RecordBatch, cols: dict[str, pa.Array]) -> pa.RecordBatch:
     kept = {n: batch.column(n) for n in batch.schema.names if n not in cols}
     return pa.RecordBatch.from_pydict(kept | cols)
@@ -372,16 +388,15 @@ def encode(df: DataFrame, path: str, text: str = "text", keep_text: bool = True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            rest = batch if keep_text else batch.drop_columns([text])
-            for a, b in chunks(texts):
-                ids, per = enc.encode(texts[a:b])
+            for part, texts in parts(batch, text):
+                ids, per = enc.encode([t or "" for t in texts])
                 ends = np.cumsum(enc.length_of[ids])
                 offsets = np.concatenate([[0], np.cumsum(per)])
                 base = np.concatenate([[0], ends])[offsets[:-1]]
                 starts = ends - enc.length_of[ids] - np.repeat(base, per)
                 at = pa.array(offsets.astype(np.int32))
-                yield _with_columns(rest.slice(a, b - a), {"token_ids": pa.ListArray.from_arrays(at, pa.array(ids)), "token_starts": pa.ListArray.from_arrays(at, pa.array(starts.astype(np.int32)))})
+                rest = part if keep_text else part.drop_columns([text])
+                yield _with_columns(rest, {"token_ids": pa.ListArray.from_arrays(at, pa.array(ids)), "token_starts": pa.ListArray.from_arrays(at, pa.array(starts.astype(np.int32)))})
 
     out = [T.StructField("token_ids", T.ArrayType(T.IntegerType(), True)), T.StructField("token_starts", T.ArrayType(T.IntegerType(), True))]
     return _map(df, run, out, () if keep_text else (text,))
@@ -407,7 +422,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", starts: str = "toke
                     raise ValueError("token offsets do not fit the token ids")
                 out = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
                 if col.null_count:
-                    out = pa.compute.if_else(col.is_valid(), out, None)
+                    out = pc.if_else(col.is_valid(), out, None)
                 yield _with_columns(part, {"decoded": out})
 
     return _map(df, run, [T.StructField("decoded", T.BinaryType())])

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkflow.llm.bpe import gather
 from chunkflow.llm.components import components
 from chunkflow.llm.scratch import Table
 
@@ -30,6 +31,8 @@ from chunkflow.llm.scratch import Table
 #: graph; slack of pruning; width of the beam; slack under the threshold within which a search goes on.
 SHARD, OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 500, 2, 48, 20, 1.2, 24, 0.04
 LEAST_RECALL = 0.99
+#: Pairs whose vectors are held side by side.
+PAIRS = 1 << 16
 #: Bounds on what the driver fits centroids with: centroids and vectors of the sample.
 MOST_CENTROIDS, MOST_SAMPLE = 16_384, 65_536
 
@@ -79,8 +82,11 @@ def build(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
-    """Similarity of each query to every node its search met; -2 for the others."""
+def search(x: np.ndarray, first: np.ndarray, near: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+    """Similarity of each query to every node its search met; -2 for the others.
+
+    The neighbours of node i are ``near[first[i] : first[i + 1]]``.
+    """
     n, q = len(x), len(queries)
     sims = np.full(q * n, -2, np.float32)
     done = np.zeros(q * n, bool)
@@ -93,11 +99,15 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, least: flo
     while len(code):
         done[code] = True
         row, node = np.divmod(code, n)
-        nb = adjacency[node]
-        new = (np.repeat(row, nb.shape[1]) * n + nb.ravel())[nb.ravel() >= 0]
-        new = np.unique(new[sims[new] == -2])
-        r, v = np.divmod(new, n)
-        sims[new] = np.einsum("ij,ij->i", xq[r], x[v])
+        per = first[node + 1] - first[node]
+        total = np.cumsum(per)
+        edges = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)), [len(code)]]))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # so many pairs of query and neighbour at a time
+            new = np.repeat(row[lo:hi] * n, per[lo:hi]) + gather(near, first[node[lo:hi]], per[lo:hi])
+            new = np.unique(new[sims[new] == -2])
+            for k in range(0, len(new), PAIRS):
+                r, v = np.divmod(new[k : k + PAIRS], n)
+                sims[new[k : k + PAIRS]] = np.einsum("ij,ij->i", xq[r], x[v])
         grid = sims.reshape(q, n)
         floor = np.minimum(np.partition(grid, n - beam, 1)[:, n - beam], least - SLACK)
         code = np.flatnonzero((grid >= np.maximum(floor, -1.5)[:, None]).ravel() & ~done)
@@ -148,19 +158,19 @@ def _links(rows: DataFrame, least: float) -> DataFrame:
         a, b = row[here], at[here]
         pairs = np.unique(np.concatenate([a * n + b, b * n + a]))  # an edge is walked both ways
         a, b = np.divmod(pairs, n)
-        per = np.bincount(a, minlength=n)
-        adjacency = np.full((n, max(1, per.max(initial=1))), -1, np.int64)
-        adjacency[a, np.arange(len(a)) - np.repeat(np.cumsum(per) - per, per)] = b
+        starts = np.searchsorted(a, np.arange(n + 1))
         norm = np.sqrt((raw * raw).sum(1))
         x = (raw / norm[:, None]).astype(np.float32)
         bits = np.zeros((n, -(-n // 8)), np.uint8)
         for s in range(0, n, 256):
             q = np.arange(s, min(n, s + 256))
-            sims = search(x, adjacency, q, least)
-            i, j = np.nonzero(sims >= least - 1e-3)
-            ok = (np.einsum("ij,ij->i", raw[q[i]], raw[j]) / (norm[q[i]] * norm[j]) >= least) & (q[i] != j)
+            sims = search(x, starts, b, q, least)
             hit = np.zeros((len(q), n), bool)
-            hit[i[ok], j[ok]] = True
+            maybe = np.flatnonzero(sims.ravel() >= least - 1e-3)
+            for k in range(0, len(maybe), PAIRS):
+                i, j = np.divmod(maybe[k : k + PAIRS], n)
+                ok = (np.einsum("ij,ij->i", raw[q[i]], raw[j]) / (norm[q[i]] * norm[j]) >= least) & (q[i] != j)
+                hit[i[ok], j[ok]] = True
             bits[q] = np.packbits(hit, axis=1)
         count, label = np.zeros(n, np.int64), np.arange(n)
         linked = []

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkflow.llm.bpe import _map, _with_columns, chunks
+from chunkflow.llm.bpe import _map, _with_columns, chunks, parts
 
 LETTER = re.compile(r"[^\W\d_]")
 #: Hash space of each n-gram order.
@@ -124,10 +124,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", unsure: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            rest = batch.drop_columns([text])
-            for a, b in chunks(texts):
-                part = texts[a:b]
+            for rows, part in parts(batch, text):
                 real = [i for i, t in enumerate(part) if model and t and LETTER.search(t)]
                 pred, score, second = ["und"] * len(part), np.zeros(len(part)), [None] * len(part)
                 if real:
@@ -136,7 +133,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", unsure: floa
                         pred[i], score[i] = model.languages[o[0]], s[o[0]]
                         second[i] = model.languages[o[1]] if len(o) > 1 else None
                 cols = {"lang_pred": pa.array(pred), "score": pa.array(score), "lang_second": pa.array(second, pa.string()), "ambiguous": pa.array(score < unsure)}
-                yield _with_columns(rest.slice(a, b - a), cols)
+                yield _with_columns(rows.drop_columns([text]), cols)
 
     return _map(df, run, fields, (text,))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkflow.llm.bpe import chunks
+from chunkflow.llm.bpe import parts
 from chunkflow.llm.components import components
 from chunkflow.llm.scratch import Table
 from chunkflow.llm.words import BASE, Words, distinct, mix
@@ -84,12 +84,11 @@ def signature(texts: list[str | None], size: int) -> dict[str, np.ndarray]:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                s, n = signature(texts[a:b], size), b - a
+            for part, texts in parts(batch, "text"):
+                s, n = signature(texts, size), len(texts)
                 small = (s["sketch"] >> np.uint64(3)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), pa.array(s["n"]), pa.array(s["s1"]), pa.array(s["s2"]), pa.array([r.tobytes() for r in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(s["bands"].ravel()))],
+                    [part.column("doc_id"), pa.array(s["n"]), pa.array(s["s1"]), pa.array(s["s2"]), pa.array([r.tobytes() for r in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(s["bands"].ravel()))],
                     names=["doc_id", "n_shingles", "s1", "s2", "sketch", "bands"],
                 )
 
@@ -101,12 +100,11 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in chunks(texts):
-                text, value = distinct(*Words(texts[a:b]).shingles(size))
-                at = np.searchsorted(text, np.arange(b - a + 1))
+            for part, texts in parts(batch, "text"):
+                text, value = distinct(*Words(texts).shingles(size))
+                at = np.searchsorted(text, np.arange(len(texts) + 1))
                 sets = [value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
 
     return docs.mapInArrow(run, "id long, set binary")
 

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkflow.llm.bpe import gather
+from chunkflow.llm.bpe import gather, parts
 from chunkflow.llm.scratch import Table, collect_garbage, plan_bytes
 from chunkflow.llm.words import BASE, _upto, mix
 
 SEED = 20
 #: Bytes hashed at a time (a longer text by itself), names held before a task sends them on, and the
 #: bits of a text's place under its number among texts of one id.
-CHUNK, HELD, PLACE = 1 << 20, 2_000_000, 40
+CHUNK, HELD, PLACE = 1 << 20, 1_000_000, 40
 MIX48 = np.uint64(16)
 
 
@@ -157,11 +157,10 @@ def _names(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs_, hashes, n = [], [], 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            raw = [t.encode() for t in batch.column("text").to_pylist()]
-            for a, b in _chunks(raw):
-                text, _, _, name, _ = named_runs(raw[a:b], length)
-                docs_.append(ids[a:b][text])
+            for part, texts in parts(batch, "text"):
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                text, _, _, name, _ = named_runs([t.encode() for t in texts], length)
+                docs_.append(ids[text])
                 hashes.append(name >> MIX48)
                 n += len(name)
                 if n >= HELD:
@@ -443,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be greater than {SEED}")
     spark = docs.sparkSession
     weight = plan_bytes(docs)
-    buckets, groups = max(64, weight >> 24), max(128, weight >> 22)
+    buckets, groups = max(64, weight >> 22), max(128, weight >> 22)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     part: Column = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(groups).cast("long"))
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups).cast("long"))).otherwise(part)

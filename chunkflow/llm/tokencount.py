@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkflow.llm import scratch
-from chunkflow.llm.bpe import _map, _with_columns, chunks, encoder, vocabulary
+from chunkflow.llm.bpe import _map, _with_columns, encoder, parts, vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
 LOG = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, batch string"
@@ -39,10 +39,8 @@ def count_tokens(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            rest = batch.drop_columns([text])
-            for a, b in chunks(texts):
-                yield _with_columns(rest.slice(a, b - a), {"tokens": pa.array(enc.counts(texts[a:b]))})
+            for part, texts in parts(batch, text):
+                yield _with_columns(part.drop_columns([text]), {"tokens": pa.array(enc.counts([t or "" for t in texts]))})
 
     return _map(df, run, [T.StructField("tokens", T.LongType())], (text,))
 

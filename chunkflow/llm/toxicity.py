@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkflow.llm.bpe import _map, _with_columns, chunks
+from chunkflow.llm.bpe import _map, _with_columns, chunks, parts
 from chunkflow.llm.words import PUNCTUATION, Words, distinct, mix
 
 BITS, FACTORS, STEMS = 20, 8, (4, 5, 6)
@@ -133,11 +133,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = F
         own = Model(intercept, np.zeros(1 << BITS, np.float32), np.full(1 << BITS, -1, np.int32), factor)
         own.weight[ids], own.row[ids] = weight, np.arange(len(ids))
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            rest = batch if keep_text else batch.drop_columns([text])
-            for a, b in chunks(texts):
-                p = probability(own, texts[a:b])
-                yield _with_columns(rest.slice(a, b - a), {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
+            for part, texts in parts(batch, text):
+                p = probability(own, texts)
+                rest = part if keep_text else part.drop_columns([text])
+                yield _with_columns(rest, {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))})
 
     return _map(df, run, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], () if keep_text else (text,))
 
