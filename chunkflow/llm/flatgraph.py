@@ -2,10 +2,12 @@
 
 Vectors of one label are dealt to overlapping shards, those of their nearest centroids. Each shard
 links every vector to near ones that robust pruning leaves; the adjacency lists of all shards are
-united. A search starts at a shard's medoid, follows the united lists greedily with a beam, and goes on from
+united. A search starts at its own node, at the shard's medoid and at the medoid of each component that
+pruning left, follows the united lists greedily with a beam, and goes on from
 everything within range until nothing new is near enough. What it finds is verified in double
-precision. A query set (ids divisible by 20) is compared with all rows by brute force, block by block;
-while the recall so measured is short of ``LEAST_RECALL``, vectors are dealt to twice as many shards.
+precision. A query set (ids divisible by 20) is compared with all rows by brute force, block by block.
+The vectors of a label whose recall so measured is short of ``LEAST_RECALL`` are dealt to twice as many shards;
+where those would be all shards of the label, all its pairs are compared in blocks instead.
 
 Equal vectors of a label stand for one node, so a heap of copies costs no more than one vector. Links
 are counted where they are found, and only a spanning star of each shard's components leaves it.
@@ -31,6 +33,9 @@ from chunkflow.llm.scratch import Table
 #: graph; slack of pruning; width of the beam; slack under the threshold within which a search goes on.
 SHARD, OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 500, 2, 48, 20, 1.2, 24, 0.04
 LEAST_RECALL = 0.99
+#: Vectors of a block where all pairs are compared.
+SIDE = 2048
+FOUND = "space string, id long, n long, to long"
 #: Pairs whose vectors are held side by side.
 PAIRS = 1 << 16
 #: Bounds on what the driver fits centroids with: centroids and vectors of the sample.
@@ -82,19 +87,37 @@ def build(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, first: np.ndarray, near: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
+def entries(x: np.ndarray, first: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The medoid of the graph and those of its components; edges go both ways."""
+    label, row = np.arange(len(x)), np.repeat(np.arange(len(x)), np.diff(first))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, row, label[near])
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    roots, own = np.unique(label, return_inverse=True)
+    sums = np.zeros((len(roots), x.shape[1]), x.dtype)
+    np.add.at(sums, own, x)
+    order = np.lexsort((-np.einsum("ij,ij->i", x, sums[own]), own))
+    medoids = order[np.searchsorted(own[order], np.arange(len(roots)))]
+    return np.unique(np.append(medoids, np.argmax(x @ x.mean(0))))
+
+
+def search(x: np.ndarray, first: np.ndarray, near: np.ndarray, starts: np.ndarray, queries: np.ndarray, least: float) -> np.ndarray:
     """Similarity of each query to every node its search met; -2 for the others.
 
-    The neighbours of node i are ``near[first[i] : first[i + 1]]``.
+    The neighbours of node i are ``near[first[i] : first[i + 1]]``; searches enter from ``starts`` and their own node.
     """
     n, q = len(x), len(queries)
     sims = np.full(q * n, -2, np.float32)
     done = np.zeros(q * n, bool)
-    mean = x.mean(0)
-    medoid = int(np.argmax(x @ mean))
     xq = x[queries]
-    code = np.arange(q) * n + medoid
-    sims[code] = xq @ x[medoid]
+    code = np.unique(np.append((np.arange(q)[:, None] * n + starts).ravel(), np.arange(q) * n + queries))
+    for k in range(0, len(code), PAIRS):
+        r, v = np.divmod(code[k : k + PAIRS], n)
+        sims[code[k : k + PAIRS]] = np.einsum("ij,ij->i", xq[r], x[v])
     beam = min(BEAM, n)
     while len(code):
         done[code] = True
@@ -134,7 +157,7 @@ def _adjacency(dealt: DataFrame) -> DataFrame:
 
 
 def _links(rows: DataFrame, least: float) -> DataFrame:
-    """(id, n, to): links counted in a shard, and the least node of the component there."""
+    """(space, id, n, to): links counted in a shard, and the least node of the component there."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -161,10 +184,11 @@ def _links(rows: DataFrame, least: float) -> DataFrame:
         starts = np.searchsorted(a, np.arange(n + 1))
         norm = np.sqrt((raw * raw).sum(1))
         x = (raw / norm[:, None]).astype(np.float32)
+        enter = entries(x, starts, b)
         bits = np.zeros((n, -(-n // 8)), np.uint8)
         for s in range(0, n, 256):
             q = np.arange(s, min(n, s + 256))
-            sims = search(x, starts, b, q, least)
+            sims = search(x, starts, b, enter, q, least)
             hit = np.zeros((len(q), n), bool)
             maybe = np.flatnonzero(sims.ravel() >= least - 1e-3)
             for k in range(0, len(maybe), PAIRS):
@@ -194,9 +218,47 @@ def _links(rows: DataFrame, least: float) -> DataFrame:
                     reach = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits[front], 0), count=n))
                     front = reach[label[reach] > start]
                     label[front] = start
-        return pa.table({"id": pa.array(ids), "n": pa.array(count), "to": pa.array(ids[label])})
+        return pa.table({"space": table.column("space"), "id": pa.array(ids), "n": pa.array(count), "to": pa.array(ids[label])})
 
-    return rows.groupBy("shard").applyInArrow(run, "id long, n long, to long")
+    return rows.groupBy("shard").applyInArrow(run, FOUND)
+
+
+def _compared(asked: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """What ``_links`` gives, of ``asked`` with all ``nodes`` of the same space: every pair is compared.
+
+    Both are cut in blocks of about ``SIDE`` and a task has a block of each.
+    """
+    sizes = asked.groupBy("space").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("p")).join(nodes.groupBy("space").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("q")), "space")
+
+    def dealt(rows: DataFrame, own: str, other: str, ask: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("id", "v"), F.col(own)).cast("int").alias("i" if ask else "j")
+        return rows.join(sizes, "space").select("space", "id", "times", "v", F.lit(ask).alias("ask"), block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("j" if ask else "i"))
+
+    def run(table: pa.Table) -> pa.Table:
+        ask = table.column("ask").to_numpy()
+        a, b = np.flatnonzero(ask), np.flatnonzero(~ask)
+        ids, times, raw = table.column("id").to_numpy(), table.column("times").to_numpy(), _vectors(table)
+        norm = np.sqrt((raw * raw).sum(1))
+        x, y = ids[a], ids[b]
+        count = np.zeros(len(ids), np.int64)
+        hits = []
+        for k in range(0, len(a), 256):
+            hit = (raw[a[k : k + 256]] @ raw[b].T / (norm[a[k : k + 256]][:, None] * norm[b]) >= least) & (x[k : k + 256][:, None] != y)
+            p, q = np.nonzero(hit)
+            count[a[k : k + 256]] = np.bincount(p, times[b[q]], len(hit)).astype(np.int64)
+            hits.append(np.packbits(hit, axis=1))
+        label, before = ids.copy(), None
+        while before is None or (label != before).any():  # the least node of each component
+            before = label.copy()
+            for k, bits in zip(range(0, len(a), 256), hits, strict=True):
+                p, q = np.nonzero(np.unpackbits(bits, axis=1, count=len(b)))
+                rows = a[k : k + 256]
+                np.minimum.at(label, rows[p], label[b[q]])
+                np.minimum.at(label, b[q], label[rows[p]])
+        return pa.table({"space": table.column("space"), "id": pa.array(ids), "n": pa.array(count), "to": pa.array(label)})
+
+    both = dealt(asked, "p", "q", True).unionByName(dealt(nodes, "q", "p", False))
+    return both.groupBy("space", "i", "j").applyInArrow(run, FOUND)
 
 
 class FlatGraph:
@@ -240,13 +302,13 @@ class FlatGraph:
                     near = np.argsort(-(np.array([v[i] for i in idx], float) @ c.T), 1, kind="stable")[:, :overlap]
                     for i, row in zip(idx, near, strict=True):
                         out[i] = [f"{s}/{k}" for k in sorted(row.tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("times"), batch.column("v"), pa.array(out, pa.list_(pa.string()))], names=["id", "times", "v", "names"])
+                yield pa.RecordBatch.from_arrays([batch.column("space"), batch.column("id"), batch.column("times"), batch.column("v"), pa.array(out, pa.list_(pa.string()))], names=["space", "id", "times", "v", "names"])
 
-        dealt = nodes.select("id", "times", "v", "space").mapInArrow(run, "id long, times long, v array<double>, names array<string>")
+        dealt = nodes.select("id", "times", "v", "space").mapInArrow(run, "space string, id long, times long, v array<double>, names array<string>")
         return dealt.withColumn("shards", F.array_sort(F.transform("names", lambda s: F.xxhash64(s).bitwiseAND(F.lit(2**63 - 1))))).drop("names").withColumn("shard", F.explode("shards"))
 
-    def _recall(self, nodes: DataFrame, counted: DataFrame, queries: int = 2000) -> float:
-        """Links found of those that brute force finds, over about ``queries`` ids divisible by 20."""
+    def _audit(self, nodes: DataFrame, found: DataFrame, queries: int = 2000) -> DataFrame:
+        """(space, m, n): links that brute force finds and how many of them were found, over about ``queries`` ids divisible by 20."""
         q = nodes.filter("id % 20 = 0")
         n = q.count()
         if n > queries:
@@ -265,11 +327,15 @@ class FlatGraph:
                     idx = [i for i, k in enumerate(spaces) if k == s]
                     if idx:
                         near = (qv @ _unit(np.array([v[i] for i in idx], float)).T >= least) & (qi[:, None] != ids[idx])
-                        yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array((near * times[idx]).sum(1))], names=["id", "m"])
+                        yield pa.RecordBatch.from_arrays([pa.array([s] * len(qi)), pa.array(qi), pa.array((near * times[idx]).sum(1))], names=["space", "id", "m"])
 
-        true = nodes.mapInArrow(run, "id long, m long").groupBy("id").agg(F.sum("m").alias("m"))
-        got = true.join(counted, "id", "left").agg(F.sum("m").alias("m"), F.sum(F.least("m", F.coalesce("n", F.lit(0)))).alias("n")).first()
-        return 1.0 if not got["m"] else got["n"] / got["m"]
+        true = nodes.mapInArrow(run, "space string, id long, m long").groupBy("space", "id").agg(F.sum("m").alias("m"))
+        return self._compare(true, found)
+
+    @staticmethod
+    def _compare(true: DataFrame, found: DataFrame) -> DataFrame:
+        got = found.groupBy("space", "id").agg(F.sum("n").alias("n"))
+        return true.join(got, ["space", "id"], "left").groupBy("space").agg(F.sum("m").alias("m"), F.sum(F.least("m", F.coalesce("n", F.lit(0)))).alias("n"))
 
     def link(self, vectors: DataFrame) -> DataFrame:
         v = F.col("embedding").cast("array<double>")
@@ -282,16 +348,34 @@ class FlatGraph:
         held = Table(rows.filter("space IS NOT NULL").select("vec_id", "space", "v").distinct().groupBy("space", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")), "nodes").df
         # One id with several vectors is one node for each in its own shard row; the id joins them.
         centroids, overlap = self._centroids(held), OVERLAP
-        widest = max([len(c) for c in centroids.values()], default=1)
+        rest, settled, links, true = held, [], 0, 0
+        of = lambda spaces: F.broadcast(self.spark.createDataFrame([(s,) for s in spaces], "space string"))
         while True:
-            dealt = Table(self._deal(held, centroids, overlap), "shards").df
+            dealt = Table(self._deal(rest, centroids, overlap), "shards").df
             near = _adjacency(dealt).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
             found = Table(_links(dealt.join(Table(near, "graph").df, "id"), self.least), "found").df
-            counted = Table(found.groupBy("id").agg(F.sum("n").alias("n")), "counted").df
-            self.recall = self._recall(held, counted)
-            if self.recall >= LEAST_RECALL or overlap >= widest:
+            audit = Table(self._audit(rest, found), "audit").df
+            short = {r["space"]: r["m"] for r in audit.filter(f"n < {LEAST_RECALL} * m").collect()}
+            total = audit.filter(f"n >= {LEAST_RECALL} * m").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+            links, true = links + (total["n"] or 0), true + (total["m"] or 0)
+            if not short:
+                settled.append(found)
+                break
+            settled.append(found.join(of(short), "space", "left_anti"))
+            last = [s for s in short if 2 * overlap >= len(centroids.get(s, ()))]
+            if last:
+                nodes = held.join(of(last), "space")
+                settled.append(Table(_compared(nodes, nodes, self.least), "compared").df)
+                links, true = links + sum(short[s] for s in last), true + sum(short[s] for s in last)
+            rest = held.join(of(short.keys() - set(last)), "space")
+            if len(last) == len(short):
                 break
             overlap *= 2
+        self.recall = links / true if true else 1.0
+        found = settled[0]
+        for df in settled[1:]:
+            found = found.unionByName(df)
+        counted = Table(found.groupBy("id").agg(F.sum("n").alias("n")), "counted").df
         comp = components(found.filter("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
         nodes = held.join(counted, "id").join(comp, "id", "left").select("space", "v", (F.col("n") + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
         nodes = Table(nodes, "linked").df

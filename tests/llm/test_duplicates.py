@@ -183,3 +183,46 @@ def test_vectors_equal_brute_force(spark):
 
 def test_no_vectors(spark):
     assert flatgraph.FlatGraph(spark).link(vectors(spark, [(1, [1.0], 0)]).limit(0)).count() == 0
+
+
+def brute_links(rows, least=0.93):
+    by = {}
+    for i, v, label in rows:
+        by.setdefault(label, []).append((i, np.array(v, np.float32).astype(float)))
+    pairs = []
+    for group in by.values():
+        x = np.array([v for _, v in group])
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        pairs += [(group[i][0], group[j][0]) for i, j in zip(*np.nonzero(x @ x.T >= least)) if i != j]
+    return pairs
+
+
+def groups(rng, sizes, dims=24, noise=0.04):
+    for n in sizes:
+        base = rng.normal(size=dims)
+        base /= np.sqrt(base @ base)
+        yield from (base + rng.normal(size=(n, dims)) * noise).astype(np.float32).tolist()
+
+
+def test_groups_wider_than_the_candidates_keep_their_links(spark):
+    """More near vectors than candidates: no edge leaves a group, and one label is a single shard."""
+    rng = np.random.default_rng(21)
+    rows = [(i, v, 1) for i, v in enumerate(groups(rng, [60] * 7))]
+    pairs = brute_links(rows)
+    graph = flatgraph.FlatGraph(spark, 0.93)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph.link(vectors(spark, rows)).collect()}
+    want = closure([i for i, _, _ in rows], pairs)
+    assert len(pairs) > 10_000 and sum(n for n, _ in got.values()) >= 0.99 * len(pairs)
+    assert {i: c for i, (_, c) in got.items()} == want
+
+
+def test_labels_short_of_the_floor_are_compared_whole(spark, monkeypatch):
+    """A search that finds nothing leaves no result behind: all pairs are compared, in several blocks."""
+    monkeypatch.setattr(flatgraph, "SIDE", 64)
+    monkeypatch.setattr(flatgraph, "_links", lambda rows, least: rows.select("space", "id", F.lit(0).cast("long").alias("n"), F.col("id").alias("to")))
+    rng = np.random.default_rng(22)
+    rows = [(i, v, 1) for i, v in enumerate(groups(rng, [40, 70, 1, 2, 90]))]
+    pairs = brute_links(rows)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.FlatGraph(spark, 0.93).link(vectors(spark, rows)).collect()}
+    want = closure([i for i, _, _ in rows], pairs)
+    assert got == {i: (sum(a == i for a, _ in pairs), want[i]) for i in want}
