@@ -5,7 +5,8 @@ links every vector to near ones that robust pruning leaves; the adjacency lists
 united. A search starts at its own node, at the shard's medoid and at the medoid of each component that
 pruning left, follows the united lists greedily with a beam, and goes on from
 everything within range until nothing new is near enough. What it finds is verified in double
-precision. A query set (ids divisible by 20) is compared with all rows by brute force, block by block.
+precision. A query set (all ids divisible by 20, and all ids of a label with few of those) is compared with
+all rows by brute force, block by block.
 The vectors of a label whose recall so measured is short of ``LEAST_RECALL`` are dealt to twice as many shards;
 where those would be all shards of the label, all its pairs are compared in blocks instead.
 
@@ -33,6 +34,8 @@ from chunkflow.llm.scratch import Table
 #: graph; slack of pruning; width of the beam; slack under the threshold within which a search goes on.
 SHARD, OVERLAP, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 500, 2, 48, 20, 1.2, 24, 0.04
 LEAST_RECALL = 0.99
+#: Labels with fewer queries are asked whole.
+LEAST_ASKED = 20
 #: Vectors of a block where all pairs are compared.
 SIDE = 2048
 FOUND = "space string, id long, n long, to long"
@@ -307,33 +310,15 @@ class FlatGraph:
         dealt = nodes.select("id", "times", "v", "space").mapInArrow(run, "space string, id long, times long, v array<double>, names array<string>")
         return dealt.withColumn("shards", F.array_sort(F.transform("names", lambda s: F.xxhash64(s).bitwiseAND(F.lit(2**63 - 1))))).drop("names").withColumn("shard", F.explode("shards"))
 
-    def _audit(self, nodes: DataFrame, found: DataFrame, queries: int = 2000) -> DataFrame:
-        """(space, m, n): links that brute force finds and how many of them were found, over about ``queries`` ids divisible by 20."""
-        q = nodes.filter("id % 20 = 0")
-        n = q.count()
-        if n > queries:
-            q = q.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1e6 * queries / n))
-        asked: dict[str, list] = {}
-        for r in q.select("space", "id", "v").limit(2 * queries).collect():
-            asked.setdefault(r["space"], []).append((r["id"], r["v"]))
-        least = self.least
+    def _audit(self, nodes: DataFrame, found: DataFrame) -> DataFrame:
+        """(space, m, n): links that brute force finds and how many of them were found, over all ids divisible by 20.
 
-        def run(batches):  # noqa: ANN001, ANN202
-            sets = {s: (np.array([i for i, _ in r]), _unit(np.array([v for _, v in r], float))) for s, r in asked.items()}
-            for batch in batches:
-                spaces, ids = batch.column("space").to_pylist(), batch.column("id").to_numpy()
-                times, v = batch.column("times").to_numpy(), batch.column("v").to_pylist()
-                for s, (qi, qv) in sets.items():
-                    idx = [i for i, k in enumerate(spaces) if k == s]
-                    if idx:
-                        near = (qv @ _unit(np.array([v[i] for i in idx], float)).T >= least) & (qi[:, None] != ids[idx])
-                        yield pa.RecordBatch.from_arrays([pa.array([s] * len(qi)), pa.array(qi), pa.array((near * times[idx]).sum(1))], names=["space", "id", "m"])
-
-        true = nodes.mapInArrow(run, "space string, id long, m long").groupBy("space", "id").agg(F.sum("m").alias("m"))
-        return self._compare(true, found)
-
-    @staticmethod
-    def _compare(true: DataFrame, found: DataFrame) -> DataFrame:
+        A space with fewer than ``LEAST_ASKED`` of them is asked whole.
+        """
+        few = nodes.groupBy("space").agg(F.count(F.when(F.col("id") % 20 == 0, 1)).alias("asked")).filter(f"asked < {LEAST_ASKED}").select("space", F.lit(True).alias("whole"))
+        asked = nodes.join(few, "space", "left").filter("id % 20 = 0 OR whole").drop("whole")
+        ids = asked.select("space", "id").distinct()
+        true = _compared(asked, nodes, self.least).groupBy("space", "id").agg(F.sum("n").alias("m")).join(ids, ["space", "id"], "left_semi")
         got = found.groupBy("space", "id").agg(F.sum("n").alias("n"))
         return true.join(got, ["space", "id"], "left").groupBy("space").agg(F.sum("m").alias("m"), F.sum(F.least("m", F.coalesce("n", F.lit(0)))).alias("n"))
 

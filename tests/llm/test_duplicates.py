@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -226,3 +227,15 @@ def test_labels_short_of_the_floor_are_compared_whole(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in flatgraph.FlatGraph(spark, 0.93).link(vectors(spark, rows)).collect()}
     want = closure([i for i, _, _ in rows], pairs)
     assert got == {i: (sum(a == i for a, _ in pairs), want[i]) for i in want}
+
+
+def test_audit_asks_every_query_of_every_label(spark):
+    """A small label without ids divisible by 20 that finds nothing does not hide behind a large one."""
+    rng = np.random.default_rng(23)
+    rows = [(20 * i, v, 1) for i, v in enumerate(groups(rng, [30] * 150, noise=0.02))] + [(20 * i + 1, v, 2) for i, v in enumerate(groups(rng, [12]))]
+    nodes = spark.createDataFrame([(f"24|{k}", i, 1, v) for i, v, k in rows], "space string, id long, times long, v array<double>")
+    pairs = brute_links(rows)
+    found = spark.createDataFrame([("24|1", i, n, i) for i, n in Counter(a for a, _ in pairs).items() if i % 20 == 0], "space string, id long, n long, to long")
+    got = {r.space: (r.m, r.n) for r in flatgraph.FlatGraph(spark, 0.93)._audit(nodes, found).collect()}
+    large = sum(a % 20 == 0 for a, _ in pairs)
+    assert got == {"24|1": (large, large), "24|2": (len(pairs) - large, 0)}
