@@ -110,3 +110,38 @@ def test_subsequence_equals_dynamic_programming():
         for j, x in enumerate(a):
             places[x] = places.get(x, 0) | 1 << j
         assert decontam.common_subsequence(places, len(a), b) == row[-1]
+
+
+def test_all_that_the_word_check_accepts_is_found(monkeypatch):
+    """Short items, whole and in part, in long texts: results equal a check of every stretch of every text."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(4000)]
+    items = [rng.choices(vocab, k=rng.choice([6, 10, 14, 18, 24, 40])) for _ in range(40)]
+    texts = []
+    for i in range(240):
+        item = items[i % 40]
+        gone = set(rng.sample(range(len(item)), int(len(item) * rng.choice([0, 0.1, 0.2, 0.3, 0.35]))))
+        part = [rng.choice(vocab) if j in gone and rng.random() < 0.5 else x for j, x in enumerate(item) if j not in gone or rng.random() < 0.6]
+        at = rng.randrange(100)
+        texts.append(" ".join(rng.choices(vocab, k=at) + part + rng.choices(vocab, k=140 - at)))
+    texts += [None, "", " ".join(items[0] + ["x"] * 50 + items[0][:3])]
+    noise = np.random.default_rng(3)
+    idf = noise.uniform(1, 9, 1 << decontam.BITS).astype(np.float32)
+    index = decontam.item_index([(k, " ".join(x)) for k, x in enumerate(items)], idf, noise.normal(size=(1 << decontam.BITS, decontam.RANK)).astype(np.float32))
+    want = []
+    for t in texts:
+        h = decontam.Words([t], decontam.PUNCTUATION).hashes.tolist()
+        found = {}
+        for k, words in enumerate(index.words):
+            size, rare = len(words), index.rare[k]
+            span = size + max(4, size // 3)
+            for a in range(max(1, len(h) - span + 1)):
+                part = h[a : a + span]
+                if len(rare.intersection(part)) >= 0.5 * len(rare):
+                    share = decontam.common_subsequence(index.places[k], size, part) / size
+                    if share >= 0.7:
+                        found[k] = max(found.get(k, 0.0), share)
+        want.append(found)
+    assert sum(map(len, want)) > 150 and decontam.matches(index, texts) == want
+    monkeypatch.setattr(decontam, "PAIRS", 50, raising=False)
+    assert decontam.matches(index, texts) == want
