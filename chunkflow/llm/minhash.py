@@ -35,8 +35,8 @@ from chunkflow.llm.components import components
 from chunkflow.llm.scratch import Table
 from chunkflow.llm.words import BASE, Words, distinct, mix
 
-#: Coordinates; bands and their rows: at a similarity of 0.8 one pair in 5000 shares no band.
-T, BANDS, ROWS = 128, 16, 4
+#: Coordinates; bands and their rows, which use all: at a similarity of 0.8 five pairs in 100 million share no band.
+T, BANDS, ROWS = 128, 32, 4
 #: Share of agreeing coordinates under which a candidate is not looked at: four and a half standard errors under 0.8.
 LEAST_AGREEMENT = 0.64
 #: Members of a block.

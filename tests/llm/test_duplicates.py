@@ -239,3 +239,14 @@ def test_audit_asks_every_query_of_every_label(spark):
     got = {r.space: (r.m, r.n) for r in flatgraph.FlatGraph(spark, 0.93)._audit(nodes, found).collect()}
     large = sum(a % 20 == 0 for a, _ in pairs)
     assert got == {"24|1": (large, large), "24|2": (len(pairs) - large, 0)}
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """Bands over half of the coordinates leave about one such pair in 4,600 without a bucket."""
+    texts = []
+    for i in range(12_000):
+        common = [f"c{i}_{j}" for j in range(40)]
+        texts += [" ".join([*common, *(f"{side}{i}_{j}" for j in range(5))]) for side in "ab"]  # similarity 40 / 50
+    bands = np.concatenate([minhash.signature(texts[a : a + 2000], 1)["bands"] for a in range(0, len(texts), 2000)])
+    assert bands.shape[1] * minhash.ROWS == minhash.T
+    assert (bands[0::2] == bands[1::2]).any(1).all()
