@@ -9,7 +9,7 @@ Built-in functions only: no Python runs on the executors.
 Defined results: a null text is the empty blob; a null path is a path like any other; a path that
 occurs in several versions or repeated rows gets a row for each; empty input gives an empty result;
 further columns of the input are kept, ones named ``blob``
-or ``spans`` replaced. A replayed scan finds nothing due and adds no batch rows.
+or ``spans`` replaced; a span written before the ledger held rule versions counts for any version of its rule. A replayed scan finds nothing due and adds no batch rows.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ RULES = [
     Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]{10,}+\\.[A-Za-z0-9_-]{10,}+", needs="eyJ"),
 ]
 BASE = ("assign", "access", "hex")
-LEDGER = "blob string, ran array<string>, spans array<struct<kind:string,start:int,end:int>>"
+LEDGER = "blob string, ran array<string>, spans array<struct<kind:string,start:int,end:int,tag:string>>"
 
 
 def _kept(rules: list[Rule]) -> Column:
@@ -71,9 +71,9 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str, content: str = "
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     found = explode_matches(blobs, "blob", "_text", rules, due="due").filter(_kept(rules))
     found = found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))).alias("f"))
-    found = found.select("blob", F.transform("f", lambda x: F.struct(F.element_at(kinds, x["ord"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+    found = found.select("blob", F.transform("f", lambda x: F.struct(F.element_at(kinds, x["ord"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.element_at(tags, x["ord"] + 1).alias("tag"))).alias("spans"))
     # A blob with findings has a row with them, and every blob scanned a row that says what ran.
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,tag:string>>")
     seen = blobs.select("blob", F.col("due").alias("ran"), none.alias("spans"))
     batch = seen.unionByName(found.select("blob", F.array().cast("array<string>").alias("ran"), "spans"))
     batch.write.mode("append").parquet(ledger)
@@ -84,7 +84,9 @@ def findings(spark: SparkSession, versions: DataFrame, ledger: str, content: str
     rules = rules or RULES
     order = {r.kind: n for n, r in enumerate(rules)}
     rank = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
-    by_blob = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode("spans").alias("s")).filter(F.col("s.kind").isin(list(order)))
+    # Spans of ledgers from before they held a tag go by kind.
+    asked = F.when(F.col("s.tag").isNull(), F.col("s.kind").isin(list(order))).otherwise(F.col("s.tag").isin([r.tag for r in rules]))
+    by_blob = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.explode("spans").alias("s")).filter(asked)
     by_blob = by_blob.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), rank[F.col("s.kind")].alias("ord"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind")))).alias("_spans"))
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     return address(versions, content).join(by_blob, "blob", "left").withColumn("spans", F.coalesce("_spans", none)).drop("_spans")

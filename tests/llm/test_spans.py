@@ -84,3 +84,17 @@ def test_plans_run_no_python(spark, op):
     df = QUERIES[op](spark, "/root/testdata/sf0.001")
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
     assert df.filter(F.col("base_sha256") == hashlib.sha256(b"").hexdigest()).count() > 0
+
+
+def test_findings_are_of_the_versions_asked_for(spark):
+    ledger = scratch.new_path(spark, "versions")
+    rows = spark.createDataFrame([(1, "aa bbb")], "doc_id long, text string")
+    old, new = [secrets.Rule("letters", "a+")], [secrets.Rule("letters", "b+", version=2)]
+    spans = lambda rules: [(s.kind, s.start, s.end) for r in secrets.findings(spark, rows, ledger, rules=rules).collect() for s in r.spans]
+    secrets.scan(spark, rows, ledger, rules=old)
+    secrets.scan(spark, rows, ledger, rules=new)
+    assert spans(new) == [("letters", 3, 6)] and spans(old) == [("letters", 0, 2)]
+    untagged = spark.read.schema(secrets.LEDGER.replace(",tag:string", "")).parquet(ledger)
+    ledger = scratch.new_path(spark, "untagged")
+    untagged.write.parquet(ledger)
+    assert spans(new) == [("letters", 0, 2), ("letters", 3, 6)]
