@@ -1,14 +1,17 @@
 """Language identification by error-correcting output codes.
 
-Each language has a codeword, a row of a Hadamard matrix without its constant column, so any two
-differ in half their bits or more. One binary n-gram classifier per bit weighs hashed byte bigrams and
+Each language has a codeword. Up to 32 languages take rows of a Hadamard matrix without its constant
+column, so any two differ in half their bits or more; more languages take random words of ``BITS`` bits,
+each of which differs from all before it in a quarter of them at least, so the model does not grow with
+the square of their number. One binary n-gram classifier per bit weighs hashed byte bigrams and
 trigrams of the lower-cased text by their log-odds. Decoding takes the codeword with the least sum of
 logistic losses, each bit weighted by how reliable it was in training, and flags texts for which the
 second codeword is nearly as close.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a row gives a row, so
-null and repeated ids are kept; with nothing to learn from, every text is ``und``; further columns of
-the input are kept, one named like an output is replaced.
+null and repeated ids are kept; with nothing to learn from, every text is ``und``; a long text is scored
+whole and takes about forty times its bytes; further columns of the input are kept, one named like an
+output is replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkflow.llm.bpe import _map, _with_columns, chunks, parts
+from chunkflow.llm.scratch import sampled
 
 LETTER = re.compile(r"[^\W\d_]")
-#: Hash space of each n-gram order.
-BUCKETS = 1 << 16
+#: Hash space of each n-gram order; bits of the codewords of more than 32 languages.
+BUCKETS, BITS = 1 << 16, 64
 
 
 @dataclass
@@ -46,6 +50,18 @@ def hadamard(n: int) -> np.ndarray:
     return h
 
 
+def codewords(n: int, seed: int = 1) -> np.ndarray:
+    """Rows of +1 and -1 for ``n`` languages."""
+    if n <= BITS // 2:
+        return hadamard(max(2 * n, 4))[1 : n + 1, 1:]
+    rng, out = np.random.default_rng(seed), np.zeros((0, BITS))
+    while len(out) < n:
+        word = rng.choice([-1.0, 1.0], BITS)
+        if (np.abs(out @ word) <= BITS / 2).all():  # a quarter of the bits at least differ, from its opposite too
+            out = np.vstack([out, word])
+    return out
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the bigram and of the trigram at each byte, and where texts start.
 
@@ -79,20 +95,22 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     languages = sorted({y for _, y in rows})
     if not languages:
         return None
-    codes = hadamard(max(2 * len(languages), 4))[1 : len(languages) + 1, 1:]
-    share = np.empty((len(languages), 2 * BUCKETS))
+    codes = codewords(len(languages))
+    sums = {sign: np.zeros((codes.shape[1], 2 * BUCKETS), np.float32) for sign in (1, -1)}  # of the languages on either side of a bit
     for k, y in enumerate(languages):
         c = np.full(2 * BUCKETS, 0.05)
         own = [t for t, z in rows if z == y]
         for a, b in chunks(own):
             two, three, _ = grams(own[a:b])
             c += np.bincount(two, minlength=2 * BUCKETS) + np.bincount(three, minlength=2 * BUCKETS)
-        share[k] = c / c.sum()
+        for b, sign in enumerate(codes[k]):
+            sums[int(sign)][b] += (c / c.sum()).astype(np.float32)
     weights = np.zeros((codes.shape[1], 2 * BUCKETS), np.float32)
     for b in range(codes.shape[1]):
-        plus, minus = codes[:, b] > 0, codes[:, b] < 0
-        if plus.any() and minus.any():
-            weights[b] = np.log(share[plus].mean(0)) - np.log(share[minus].mean(0))
+        plus, minus = (codes[:, b] > 0).sum(), (codes[:, b] < 0).sum()
+        if plus and minus:
+            weights[b] = np.log(sums[1][b] / plus) - np.log(sums[-1][b] / minus)
+    del sums
     of = {y: k for k, y in enumerate(languages)}
     truth = codes[[of[y] for _, y in rows]]
     texts = [t for t, _ in rows]
@@ -138,19 +156,21 @@ def predict(df: DataFrame, model: Model | None, text: str = "text", unsure: floa
     return _map(df, run, fields, (text,))
 
 
-def sample(docs: DataFrame, train: Column, per_language: int = 1500, longest: int = 20_000, most_languages: int = 512) -> list[tuple[str, str]]:
-    """About ``per_language`` labelled texts of each of the ``most_languages`` commonest languages.
+def sample(docs: DataFrame, train: Column, per_language: int = 1500, longest: int = 20_000, most: int = 12_000) -> list[tuple[str, str]]:
+    """About ``per_language`` labelled texts of each language, fewer where ``most`` in all would be passed.
 
-    The bound on what is learned from: those numbers, of texts of up to ``longest`` characters. Rows
-    are picked by the hash of their id, so a run repeated picks the same ones.
+    That, and texts of up to ``longest`` characters, is the bound on what is learned from; with more than
+    ``most`` languages the ``most`` commonest are learned. Rows are picked by the hash of what they hold,
+    and equal ones count once, so a run repeated picks the same ones.
     """
-    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
+    rows = docs.filter(train & F.col("lang").isNotNull() & (F.length("text") <= longest))
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not n:
         return []
-    part = F.create_map(*(F.lit(x) for k, c in n.items() for x in (k, int(1e6 * min(1.0, per_language / c)))))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < part[F.col("lang")]).filter(F.length("text") <= longest)
-    return [(r["text"], r["lang"]) for r in picked.select("text", "lang").collect()]
+    each = min(per_language, most // len(n))
+    part = F.create_map(*(F.lit(x) for k, c in n.items() for x in (k, min(1.0, each / c))))
+    picked = rows.filter(sampled(F.coalesce(part[F.col("lang")], F.lit(0.0)), "doc_id", "text", "lang"))
+    return sorted((r["text"], r["lang"]) for r in picked.select("text", "lang").distinct().collect())
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

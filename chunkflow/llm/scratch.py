@@ -1,7 +1,7 @@
 """Tables that cut lineage, kept in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` when the session names one. Only where it is unset, as in
-tests on one machine, a local folder is used.
+The folder is ``spark.checkpoint.dir`` when the session names one. Where it is unset a local folder
+serves, but only if the master is local too: on a cluster each executor would write to its own disk.
 """
 
 from __future__ import annotations
@@ -9,14 +9,19 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "file:///tmp/checkpoints/chunkflow"
 _left: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master.partition("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return (named or LOCAL_DEFAULT).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -25,11 +30,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches of ``size`` bytes at most, unless the session asks for smaller ones: rows of texts are large."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > size:
+        spark.conf.set(name, str(size))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the subfolders of ``folder`` that a writer has finished; its marker comes last."""
+    if not exists(spark, folder):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(n for n in (s.getPath().getName() for s in found) if exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+
+def sampled(share: Column | float, *by: str | Column) -> Column:
+    """Whether a row is in a sample of ``share``, by the hash of ``by``: to 53 bits, so any share of any table is met."""
+    return F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(1 << 53)).cast("double") < share * F.lit(2.0**53)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -50,7 +76,7 @@ class Table:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """What Catalyst expects the input to weigh, from file sizes; sets numbers of buckets, never what is computed.
+    """What Catalyst expects the input to weigh, from file sizes; sets numbers of buckets and first guesses, never what is computed.
 
     Where Catalyst has no idea, 4 KB a row.
     """

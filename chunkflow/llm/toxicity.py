@@ -7,7 +7,8 @@ vectors of all pairs of terms in a text learn interactions that additive weights
 Defined results: a null or empty text has no terms and gets the score of the intercept; a row gives a
 row, so null and repeated ids are kept; labels that are null are not learned from, and an id labelled
 twice counts as toxic if either label says so; with no labels of one class the score is that of the
-known share; further columns are kept, one named like an output is replaced.
+known share; a long text is hashed in pieces and takes about eight times its bytes; further columns are kept,
+one named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkflow.llm.bpe import _map, _with_columns, chunks, parts
-from chunkflow.llm.words import PUNCTUATION, Words, distinct, mix
+from chunkflow.llm.scratch import sampled
+from chunkflow.llm.words import PUNCTUATION, Words, distinct
 
 BITS, FACTORS, STEMS = 20, 8, (4, 5, 6)
+#: Terms whose pairs are screened, the most common ones, and the share of texts that each must be in.
+PAIRED, PAIRED_SHARE = 2048, 0.01
 
 
 @dataclass
@@ -37,12 +41,12 @@ class Model:
 
 def terms(texts: list[str | None], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs; with ``used``, a flag by bucket, of those buckets only."""
-    w = Words(texts, PUNCTUATION)
+    w = Words(texts, PUNCTUATION, STEMS)
     text, hashes = [w.text], [w.hashes]
-    for n in STEMS:
-        long = np.flatnonzero(w.end - w.start > n)
+    for j in range(len(STEMS)):
+        long = np.flatnonzero(w.stems[:, j])
         text.append(w.text[long])
-        hashes.append(mix(w.slices(w.start[long], w.start[long] + n) + np.uint64(n)))
+        hashes.append(w.stems[long, j])
     bucket = (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
     text = np.concatenate(text)
     if used is not None:
@@ -65,11 +69,50 @@ def probability(model: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_sums(model, len(texts), *terms(texts, model.row >= 0)), -30, 30)))
 
 
-def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 40, batch: int = 128, rate: float = 0.3, least: int = 4, least_z: float = 4.0, decay: float = 1e-5, seed: int = 7) -> Model:
+def interacting(text: np.ndarray, term: np.ndarray, toxic: np.ndarray, n_terms: int, least_z: float) -> np.ndarray:
+    """Flags of terms in a pair that says more than both do by themselves.
+
+    Of the four groups of texts with both, either and neither, the shares of toxic ones add up if there is
+    no interaction: share(both) - share(one) - share(other) + share(neither) is 0. A pair counts where that
+    is ``least_z`` standard errors off. Screened are the ``PAIRED`` most common terms in at least
+    ``PAIRED_SHARE`` of the texts and at most as many less.
+    """
+    n, out = len(toxic), np.zeros(n_terms, bool)
+    df = np.bincount(term, minlength=n_terms)
+    some = np.flatnonzero((df >= max(5, PAIRED_SHARE * n)) & (df <= (1 - PAIRED_SHARE) * n))
+    some = some[np.argsort(-df[some], kind="stable")[:PAIRED]]
+    place = np.full(n_terms, -1)
+    place[some] = np.arange(len(some))
+    keep = place[term] >= 0
+    text, col = text[keep], place[term[keep]]
+    all_, bad = (np.zeros((len(some), len(some)), np.float32) for _ in range(2))
+    edges = np.searchsorted(text, np.arange(0, n + 512, 512))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):  # texts in blocks
+        x = np.zeros((min(512, n - 512 * k), len(some)), np.float32)
+        x[text[a:b] - 512 * k, col[a:b]] = 1
+        all_ += x.T @ x
+        x = x[toxic[512 * k : 512 * k + len(x)] > 0]
+        bad += x.T @ x
+    n1, total, wrong = toxic.sum(), np.diag(all_), np.diag(bad)
+    for i in range(len(some)):
+        both, one, other = all_[i], total[i] - all_[i], total - all_[i]
+        cells = [(both, bad[i]), (one, wrong[i] - bad[i]), (other, wrong - bad[i]), (n - both - one - other, n1 - wrong[i] - wrong + bad[i])]
+        share = [(b + 0.5) / (m + 1) for m, b in cells]
+        off = share[0] - share[1] - share[2] + share[3]
+        z = np.abs(off) / np.sqrt(sum(p * (1 - p) / (m + 1) for p, (m, _) in zip(share, cells, strict=True)))
+        hit = (z >= least_z) & np.logical_and.reduce([m >= 5 for m, _ in cells])
+        hit[i] = False
+        if hit.any():
+            out[some[i]] = out[some[hit]] = True
+    return out
+
+
+def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 40, batch: int = 128, rate: float = 0.3, least: int = 4, least_z: float = 4.0, decay: float = 1e-5, seed: int = 7, least_pair_z: float = 6.0) -> Model:
     """Minimises logistic loss by AdaGrad.
 
-    Terms in fewer than ``least`` texts are left out, and those whose share of toxic texts differs from
-    their share of others by less than ``least_z`` standard errors, which would only be learned by heart.
+    Terms in fewer than ``least`` texts are left out. The others are learned if their share of toxic texts
+    differs from their share of others by ``least_z`` standard errors, or if they are in a pair that
+    interacts (``interacting``), though neither says anything alone; more would only be learned by heart.
 
     ``prior`` is the share of toxic texts where the model is used; the intercept is moved from the
     share in the sample to it.
@@ -84,7 +127,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 40, bat
     n1, n = toxic.sum(), len(toxic)
     share = np.clip(both / n, 1 / n, 1 - 1 / n)
     z = (bad / n1 - (both - bad) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    used = np.flatnonzero((both >= least) & (np.abs(z) >= least_z))
+    used = np.flatnonzero((both >= least) & ((np.abs(z) >= least_z) | interacting(text, bucket, toxic, 1 << BITS, least_pair_z)))
     model.row[used] = np.arange(len(used))
     keep = model.row[bucket] >= 0
     text, row = text[keep], model.row[bucket[keep]]
@@ -144,8 +187,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep_text: bool = F
 def train(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 4000, longest: int = 20_000) -> Model:
     """Learns from about ``per_class`` labelled texts of each class, of up to ``longest`` characters.
 
-    That is the bound on what is learned from. Rows are picked by the hash of their id. ``use`` says
-    which labels may be learned from.
+    That is the bound on what is learned from. Rows are picked by the hash of their id, and equal texts
+    of one class count once. ``use`` says which labels may be learned from.
     """
     known = labels.filter(use & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
     n = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
@@ -153,8 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 4000
     if not total:
         return fit([], np.zeros(0), 0.0)
     part = F.when(F.col("_toxic") == 1, F.lit(per_class / n.get(1, 1))).otherwise(F.lit(per_class / n.get(0, 1)))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < part * 1e6)  # about 2 * per_class ids
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").select("text", "_toxic").collect()
+    picked = known.filter(sampled(part, "doc_id"))  # about 2 * per_class ids
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").select("text", "_toxic").distinct().collect()
+    rows.sort(key=lambda r: (r["text"], r["_toxic"]))
     return fit([r["text"] for r in rows], np.array([r["_toxic"] for r in rows], float), n.get(1, 0) / total)
 
 

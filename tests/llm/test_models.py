@@ -145,3 +145,154 @@ def test_all_that_the_word_check_accepts_is_found(monkeypatch):
     assert sum(map(len, want)) > 150 and decontam.matches(index, texts) == want
     monkeypatch.setattr(decontam, "PAIRS", 50, raising=False)
     assert decontam.matches(index, texts) == want
+
+
+def additive(texts, toxic, held):
+    """A logistic model without pairs, over the same terms: the control that must fail where only pairs tell."""
+    w, step = np.zeros(1 << toxicity.BITS), 0.5
+    parts = [toxicity.terms([t]) [1] for t in texts]
+    b = 0.0
+    for _ in range(60):
+        for terms, y in zip(parts, toxic):
+            e = 1 / (1 + np.exp(-np.clip(b + w[terms].sum(), -30, 30))) - y
+            w[terms] -= step * e / len(terms)
+            b -= step * e / len(terms)
+    return np.array([b + w[toxicity.terms([t])[1]].sum() > 0 for t in held])
+
+
+def test_pairs_that_are_toxic_only_one_by_one_are_learned():
+    """Either word alone is toxic, both or none are not: no term says anything by itself."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+
+    def draw(n):
+        out = []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            out.append((" ".join(rng.choices(words, k=30) + ["vile"] * a + ["they"] * b), int(a != b)))
+        return [t for t, _ in out], np.array([y for _, y in out], float)
+
+    (texts, toxic), (held, truth) = draw(1500), draw(500)
+    got = toxicity.probability(toxicity.fit(texts, toxic, 0.5), held) >= 0.5
+    assert np.mean(got == truth) > 0.9
+    assert np.mean(additive(texts[:400], toxic[:400], held) == truth) < 0.65
+
+
+def test_pair_screen_equals_plain_counts():
+    rng = np.random.default_rng(6)
+    x = rng.random((700, 6)) < 0.4
+    y = (x[:, 0] ^ x[:, 1]) * 1.0
+    text, term = np.nonzero(x)
+    assert toxicity.interacting(text, term, y, 8, 6.0).tolist() == [True, True] + [False] * 6
+    assert not toxicity.interacting(text, term, x[:, 0] * 1.0, 8, 6.0).any()
+
+
+def test_toxicity_query_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in QUERIES["op5_toxicity"](spark, sf).collect()}
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in got and got[r.doc_id].held_out}
+    caught = sum(got[i].predicted for i, t in truth.items() if t)
+    assert caught >= 0.85 * sum(truth.values()) and sum(got[i].predicted for i, t in truth.items() if not t) <= 5
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 50 = 0").collect()}
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    for i, t in texts.items():  # the sum over all pairs, term by term
+        ids = [k for k in toxicity.terms([t], model.row >= 0)[1]]
+        v = model.factor[model.row[ids]].astype(float)
+        z = model.intercept + model.weight[ids].astype(float).sum() + sum(v[a] @ v[b] for a in range(len(ids)) for b in range(a))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-4)
+
+
+def test_shares_of_any_table_are_met(spark):
+    """A share far under one in a million rows still picks rows, as 1e10 rows would need."""
+    from chunkflow.llm.scratch import sampled
+
+    df = spark.range(2_000_000)
+    assert abs(df.filter(sampled(1e-4, "id")).count() - 200) < 60
+    tiny = [df.select(F.min(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 53)))).first()[0] / 2**53]
+    assert df.filter(sampled(tiny[0] * 1.001, "id")).count() == 1 and 0 < tiny[0] < 1e-5
+    assert df.filter(sampled(F.lit(1.0), "id")).count() == 2_000_000 and df.filter(sampled(0.0, "id")).count() == 0
+
+
+def test_language_scores_equal_a_plain_decoder(spark):
+    """Margins from counts of every n-gram, losses bit by bit: the query's model scored by hand."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.fit(langid.sample(docs, rest != 2))
+    got = {r.doc_id: r for r in QUERIES["op2_langid"](spark, SF).collect()}
+    for r in docs.filter("doc_id % 97 = 0").collect():
+        t = "".join(chr(c) if 97 <= c < 123 else " " if c < 128 else chr(c) for c in (r.text or "").lower().encode())
+        codes, z = [ord(c) for c in t + "  "], []
+        for b in range(model.codes.shape[1]):
+            m = 0.0
+            for x, y, w in zip(codes, codes[1:], [*codes[2:], 32]):
+                three = (((x << 16 | y << 8 | w) * 2654435761) & 0xFFFFFFFF) >> 16
+                m += float(model.weights[b][x << 8 | y]) + float(model.weights[b][langid.BUCKETS + three])
+            z.append(m / len(codes) * model.scale[b][0] + model.scale[b][1])
+        loss = [sum(np.log1p(np.exp(-x * c)) * tr for x, c, tr in zip(z, code, model.trust)) / model.trust.sum() for code in model.codes]
+        share = np.exp(-(np.array(loss) - min(loss)) * len(z))
+        assert got[r.doc_id].lang_pred == model.languages[int(np.argmin(loss))]
+        assert got[r.doc_id].score == pytest.approx(share.max() / share.sum(), abs=1e-3)
+
+
+def test_many_languages_have_short_codewords_far_apart():
+    c = langid.codewords(200)
+    assert c.shape == (200, langid.BITS) and min((c[i] != c[j]).sum() for i in range(200) for j in range(i)) >= langid.BITS // 4
+    rng, rows = random.Random(3), []
+    for k in range(40):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(30)]
+        rows += [(" ".join(rng.choices(words, k=40)), f"l{k}") for _ in range(8)]
+    model = langid.fit(rows[::2])
+    order, _, _ = langid.decode(model, langid.margins(model.weights, [t for t, _ in rows[1::2]]))
+    assert np.mean([model.languages[o[0]] == y for o, (_, y) in zip(order, rows[1::2])]) > 0.95
+
+
+def test_decontamination_query_equals_a_check_of_every_stretch(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in QUERIES["op3_decontamination"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    idf, sample = decontam.corpus_statistics(docs)
+    items = sorted((r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    index = decontam.item_index(items, idf, np.zeros((1 << decontam.BITS, decontam.RANK), np.float32))
+    for r in docs.select("doc_id", "text").collect():
+        h = decontam.Words([r.text], decontam.PUNCTUATION).hashes.tolist()
+        found = {}
+        for k, own in enumerate(index.words):
+            size, rare = len(own), index.rare[k]
+            span = size + max(4, size // 3)
+            if len(rare.intersection(h)) >= 0.5 * len(rare):
+                for a in range(max(1, len(h) - span + 1)):
+                    part = h[a : a + span]
+                    if len(rare.intersection(part)) >= 0.5 * len(rare):
+                        share = decontam.common_subsequence(index.places[k], size, part) / size
+                        if share >= 0.7:
+                            found[index.ids[k]] = max(found.get(index.ids[k], 0.0), share)
+        assert list(got[r.doc_id].item_ids) == sorted(found) and got[r.doc_id].share == pytest.approx(max(found.values(), default=0.0))
+        assert got[r.doc_id].contaminated == bool(found)
+
+
+def test_the_sample_hangs_on_rows_not_on_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    docs.repartition(7).write.option("compression", "none").parquet(f"{tmp_path}/a")
+    docs.unionByName(docs.filter("length(text) > 3000")).repartition(2).write.option("compression", "gzip").parquet(f"{tmp_path}/b")
+    picked = lambda p: sorted(bytes(r.passage) for r in decontam.corpus_statistics(spark.read.parquet(p))[1].df.collect())
+    few, decontam.SAMPLE = decontam.SAMPLE, 500
+    try:
+        one, two = picked(f"{tmp_path}/a"), picked(f"{tmp_path}/b")
+    finally:
+        decontam.SAMPLE = few
+    assert len(one) == 500 and one == two  # repeated texts count once
+
+
+def test_slices_of_a_benchmark_and_long_texts(spark, monkeypatch):
+    rng, words, texts = _corpus(60)
+    items = [" ".join(rng.choices(words, k=30)) for _ in range(9)]
+    texts[3] += " " + items[2]
+    texts[5] = " ".join([*texts[6:], items[7]] * 8)
+    texts[9] = items[1] + " " + items[8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_ids", F.lit("clash"))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole = {r.doc_id: (list(r.item_ids), r.share) for r in decontam.detect(docs, bench).collect()}
+    monkeypatch.setattr(decontam, "SLICE", 4)
+    assert {r.doc_id: (list(r.item_ids), r.share) for r in decontam.detect(docs, bench).collect()} == whole
+    assert {i: k for i, (k, _) in whole.items() if k} == {3: [2], 5: [7], 9: [1, 8]}
