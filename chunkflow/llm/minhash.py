@@ -13,7 +13,9 @@ block: sketches first, then full sets, in the first bucket that a pair shares. O
 something leave a task. All links are confirmed on full sets.
 
 Words are maximal runs of anything but space and \\t to \\r, A-Z lower-cased. A set holds the distinct
-runs of ``size`` words, or the whole sequence where there are fewer.
+runs of ``size`` words, or the whole sequence where there are fewer. Words are known by BLAKE2b digests,
+of which sets are told apart by 128 bits and a set's members by 64: two texts of 40,000 words have a
+chance of 1 in 10 billion that any of their runs are taken for each other.
 
 Defined results: null and empty texts, and those without a word, have an empty set and link with
 nothing; a row without ``doc_id`` links with nothing, has a null component and is kept; rows repeated
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from chunkflow.llm.bpe import parts
 from chunkflow.llm.components import components
-from chunkflow.llm.scratch import Table
+from chunkflow.llm.scratch import Table, bound_batches
 from chunkflow.llm.words import BASE, Words, distinct, mix
 
 #: Coordinates; bands and their rows, which use all: at a similarity of 0.8 five pairs in 100 million share no band.
@@ -67,12 +69,16 @@ def sketches(text: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def signature(texts: list[str | None], size: int) -> dict[str, np.ndarray]:
-    text, value = distinct(*Words(texts).shingles(size))
+    words = Words(texts, exact=True)
+    text, value, other = distinct(*words.shingles(size), words.shingles(size, second=True)[1])
+    del words
     n = len(texts)
     per = np.bincount(text, minlength=n)
     first = np.cumsum(per) - per
-    sums = [np.concatenate([[0], np.cumsum(mix(value * np.uint64(k) + np.uint64(k)), dtype=np.uint64)]).astype(np.uint64) for k in (BASE, BASE ^ 0x5555555555555554)]
+    # A sum over the set from either half of the digests: 128 bits that tell sets apart.
+    sums = [np.concatenate([[0], np.cumsum(mix(v * np.uint64(BASE) + np.uint64(BASE)), dtype=np.uint64)]).astype(np.uint64) for v in (value, other)]
     s1, s2 = (s[first + per] - s[first] for s in sums)
+    del other, sums
     sk = sketches(text, value, n)
     bands = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
@@ -101,7 +107,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in parts(batch, "text"):
-                text, value = distinct(*Words(texts).shingles(size))
+                text, value = distinct(*Words(texts, exact=True).shingles(size))
                 at = np.searchsorted(text, np.arange(len(texts) + 1))
                 sets = [value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
@@ -168,12 +174,15 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray) -
 def _apart(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of a band that were in different components.
 
-    ``members`` has band, slot, rep, n, c, sketch, bands, n_shingles and set. A band of n members is cut
-    in blocks of about ``SIDE`` and a task has two blocks. A pair that shares an earlier band met there.
+    ``members`` has band, slot, rep, c, main, n_main, n_other, sketch, bands, n_shingles and set. The
+    largest component of a band and the rest of it are cut in blocks of about ``SIDE`` each, and a task has
+    two blocks; two blocks of the largest component have nothing to compare and never meet. A pair that
+    shares an earlier band met there.
     """
-    blocks = F.ceil(F.col("n") / SIDE).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    p, q = (F.ceil(F.col(n) / SIDE).cast("int") for n in ("n_main", "n_other"))
+    in_main, h = F.col("c") == F.col("main"), F.xxhash64("rep", F.lit(1))
+    own = F.when(in_main, F.pmod(h, p)).otherwise(p + F.pmod(h, q)).cast("int")
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(in_main, p).otherwise(0), p + q - 1)))
     spread = spread.select("band", "slot", "rep", "c", "sketch", "bands", "n_shingles", "set", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -253,22 +262,28 @@ class NearDuplicates:
 
     def link(self, docs: DataFrame) -> DataFrame:
         self.docs, self.sets = docs, []
+        bound_batches(self.spark)
         sig = Table(signatures(docs, self.size), "signatures").df
         # The sketch and bands of a class are those of any member, its sets being equal.
         reps = Table(sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes").df
         members = reps.select("rep", F.posexplode("bands").alias("slot", "band")).distinct()
+        # A band that very many members share is split among tasks when a join of two plain exchanges adapts:
+        # what is known of each band is written before, and the hint keeps to that kind of join.
+        per_band = lambda df, name: Table(df, name).df.hint("merge")
         filled = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-        bucket = Table(members.join(filled, "band"), "buckets").df
-        fame = bucket.groupBy("rep").agg(F.sum("n").alias("fame"))
+        bucket = Table(members.join(per_band(filled, "filled"), "band"), "buckets").df
+        fame = Table(bucket.groupBy("rep").agg(F.sum("n").alias("fame")), "fame").df
         leaders = bucket.join(fame, "rep").groupBy("band").agg(F.max(F.struct("fame", F.negative("rep").alias("back"))).alias("l")).select("band", F.negative("l.back").alias("leader"))
-        first = bucket.join(leaders, "band").filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        first = bucket.join(per_band(leaders, "leaders"), "band").filter("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
         links = self._confirm(first, reps).df
         comp = components(links)
         # Buckets of two are settled: their only pair has been compared.
         wide = bucket.filter("n > 2").join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
         apart = Table(wide, "labelled").df
-        open_ = apart.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-        apart = Table(apart.join(open_, "band", "left_semi"), "apart").df
+        per = apart.groupBy("band", "c").agg(F.count("*").alias("n"))
+        open_ = per.groupBy("band").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all")).filter("m.n < all")
+        open_ = open_.select("band", F.col("m.c").alias("main"), F.col("m.n").alias("n_main"), (F.col("all") - F.col("m.n")).alias("n_other"))
+        apart = Table(apart.drop("n").join(per_band(open_, "open"), "band"), "apart").df
         self._sets(apart.select(F.col("rep").alias("id")).distinct())
         if self.sets:
             # An id with several texts has a class and a set for each; the pairs of all of them are its own.
@@ -286,3 +301,18 @@ class NearDuplicates:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return NearDuplicates(spark, size=4, percent=80).link(docs)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id AS x, doc_id AS c FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.c = e.x),
+k AS (SELECT x, min(c) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN k ON k.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""

@@ -25,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_pii": pii.ORACLE_SQL,
     "op8_suffix_dedup": suffixdedup.ORACLE_SQL,
     "op9_flat_graph": flatgraph.ORACLE_SQL,
+    "op10_near_duplicates": minhash.ORACLE_SQL,
 }

@@ -6,9 +6,10 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    equal windows have equal names wherever they stand. A few names cover a text.
 2. Names meet by hash. Only those that occur in two documents or more can name repeated windows.
 3. A maximal run of windows of one such name is a segment. A segment equal to one of a smaller document
-   goes whole. Segments that differ are put one after another and their suffixes sorted (prefix
-   doubling, up to ``length`` bytes); the previous and the next smaller document in suffix order give
-   each suffix its longest previous factor, and windows with a factor of ``length`` go.
+   goes whole, so that sorting sees each content once. Segments that differ are put one after another
+   and their suffixes sorted (prefix doubling, up to ``length`` bytes). The nearest suffixes of smaller
+   documents before and after in that order, with their common prefixes, give each suffix its longest
+   previous factor, and windows whose factor has ``length`` bytes go.
 4. Removed intervals return to the texts.
 
 Before each shuffle a task settles what it holds: of the documents with one name or one segment, only
@@ -17,7 +18,8 @@ share sends a row per task, not one per document. Exact: names choose what is co
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a row without
 ``doc_id`` neither loses bytes nor takes them from others; rows with one id do not count as earlier
-than each other; an empty table gives an empty result; further columns are not read.
+than each other; an empty table gives an empty result; a long text is worked on whole and takes about
+60 times its bytes in step 1; further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,16 +32,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkflow.llm.bpe import gather, parts
-from chunkflow.llm.scratch import Table, collect_garbage, plan_bytes
-from chunkflow.llm.words import BASE, _upto, mix
+from chunkflow.llm.scratch import Table, bound_batches, collect_garbage, plan_bytes
+from chunkflow.llm.words import BASE, mix
 
 SEED = 20
 #: Bytes hashed at a time (a longer text by itself), names held before a task sends them on, and the
 #: bits of a text's place under its number among texts of one id.
-CHUNK, HELD, PLACE = 1 << 20, 1_000_000, 40
+CHUNK, HELD, PLACE = 1 << 19, 500_000, 40
 MIX48 = np.uint64(16)
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse modulo 2^64, ``n`` at least: a prefix sum then hashes any slice.
+
+    Such hashes only propose what bytes decide.
+    """
+    if len(_powers[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p[0] = 1
+            _powers[k] = np.cumprod(p, dtype=np.uint64)
+    return _powers[0], _powers[1]
+
+
 def group_of(ids: np.ndarray, n: int) -> np.ndarray:
     """``pmod(xxhash64(id), n)`` as Spark computes it for a bigint."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -212,37 +230,70 @@ def content_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np
     return np.array([seen.setdefault(data[a : a + n].tobytes(), len(seen)) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
 
 
-def has_previous_factor(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest previous factor of each suffix of ``data`` that starts in ``at`` has ``length`` bytes.
-
-    A factor is previous if its document is smaller. Suffixes are sorted by their first ``length``
-    bytes; within a stretch whose neighbours share them all, the nearest suffixes of smaller documents
-    before and after give the factor.
-    """
+def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(h, ranks) by prefix doubling: each suffix's rank by its first h bytes, for h = 8, 16 ... and last ``length``."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     rank = np.zeros(len(data), np.uint64)
     for j in range(8):
         rank = rank << np.uint64(8) | padded[j : j + len(data)]
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while have < length:
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.int32)
+    out = [(8, rank)]
+    while out[-1][0] < length:
+        have, rank = out[-1]
         step = min(have, length - have)
         ahead = np.full(len(data), -1, np.int64)
         ahead[: len(data) - step] = rank[step:]
-        rank = np.unique(rank * (len(data) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    order = np.argsort(rank[at], kind="stable")
-    _, small = np.unique(doc, return_inverse=True)
-    r, d = rank[at][order], small[order].astype(np.int64)
-    stretch = np.cumsum(np.concatenate([[0], (r[1:] != r[:-1]).astype(np.int64)]))
-    wide = int(d.max(initial=0)) + 1
-    before = np.full(len(d), np.iinfo(np.int64).max)
-    before[1:] = np.minimum.accumulate(d - stretch * wide)[:-1] + stretch[1:] * wide  # the least document so far in the stretch
-    after = np.full(len(d), np.iinfo(np.int64).max)
-    back = np.minimum.accumulate((d + stretch * wide)[::-1])[::-1]
-    after[:-1] = back[1:] - stretch[:-1] * wide
-    out = np.zeros(len(at), bool)
-    out[order] = (before < d) | (after < d)
+        out.append((have + step, np.unique(rank * np.int64(len(data) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int32)))
+    return out
+
+
+def _common_prefixes(data: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes, ``length`` at most, that the suffixes from ``a`` and ``b`` have in common: equal ranks are equal bytes."""
+    out = np.where(ranks[-1][1][a] == ranks[-1][1][b], length, 0).astype(np.int32)
+    open_ = np.flatnonzero(out < length)
+    for h, rank in reversed(ranks[:-1]):
+        fits = open_[out[open_] + h <= length]
+        fits = fits[rank[a[fits] + out[fits]] == rank[b[fits] + out[fits]]]
+        out[fits] += h
+    for _ in range(8):  # less than the least rank's eight bytes are left
+        open_ = open_[out[open_] < length]
+        open_ = open_[data[a[open_] + out[open_]] == data[b[open_] + out[open_]]]
+        out[open_] += 1
+    return out
+
+
+def _previous_smaller(doc: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each place, the least of ``common`` on the way back to the nearest smaller ``doc``; 0 where there is none.
+
+    ``common`` is between a place and the one before. Places that look back jump over what those they
+    meet have passed already, so the way halves each round.
+    """
+    to, least = np.arange(len(doc)) - 1, common.copy()
+    open_ = np.flatnonzero((to >= 0) & (doc[to] >= doc))
+    while len(open_):
+        k = to[open_]
+        least[open_] = np.minimum(least[open_], least[k])
+        to[open_] = to[k]
+        open_ = open_[(to[open_] >= 0) & (doc[to[open_]] >= doc[open_])]
+    least[to < 0] = 0
+    return least
+
+
+def longest_previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Bytes, ``length`` at most, that the suffix from each of ``at`` has in common with one of a smaller document.
+
+    Every suffix has ``length`` bytes at least. In suffix order the nearest suffixes of smaller documents
+    before and after are the ones with most in common, which is the least common prefix on the way.
+    """
+    if not len(at):
+        return np.zeros(0, np.int32)
+    ranks = suffix_ranks(data, length)
+    order = np.lexsort((doc, ranks[-1][1][at]))
+    place, d = at[order], doc[order]
+    common = np.zeros(len(at) + 1, np.int32)
+    common[1:-1] = _common_prefixes(data, ranks, place[:-1], place[1:], length)
+    out = np.empty(len(at), np.int32)
+    out[order] = np.maximum(_previous_smaller(d, common[:-1]), _previous_smaller(d[::-1], common[:0:-1])[::-1])
     return out
 
 
@@ -390,7 +441,7 @@ def _settled(asked: DataFrame, length: int) -> DataFrame:
             at = np.cumsum(size[many]) - size[many]
             places = gather(np.arange(len(text)), at, wins[many])
             owner = np.repeat(np.arange(len(many)), wins[many])
-            found = has_previous_factor(text, places, doc[many][owner], length)
+            found = longest_previous_factors(text, places, doc[many][owner], length) >= length
             if found.any():
                 # All first copies of a content, also further ones in its least document.
                 spot = np.full(n, -1, np.int64)
@@ -441,6 +492,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if length <= SEED:
         raise ValueError(f"length must be greater than {SEED}")
     spark = docs.sparkSession
+    bound_batches(spark)
     weight = plan_bytes(docs)
     buckets, groups = max(64, weight >> 22), max(128, weight >> 22)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

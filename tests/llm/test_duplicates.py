@@ -83,6 +83,32 @@ def test_blocks_of_a_wide_bucket_meet(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 1
 
 
+def test_words_that_a_polynomial_cannot_tell_apart_stay_apart(spark):
+    """Thue-Morse words collide modulo 2^64 whatever the base; here they are words, and parts of shingles."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(40))
+    rows = [one, other, f"{one} {tail}", f"{other} {other} {tail[:30]}", f"{one} b c d", f"{other} b c d"]
+    got = {r.doc_id: r.component_id for r in minhash.NearDuplicates(spark, 4, 80).link(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(6)}
+
+
+def test_very_long_texts_and_columns_of_any_name(spark):
+    """Texts of several pieces, and one word longer than a piece."""
+    rng = random.Random(3)
+    words = rng.choices([f"word{i}" for i in range(5000)], k=120_000)
+    copy = words[:]
+    for j in rng.sample(range(len(copy)), 2000):
+        copy[j] = "other"
+    rows = [" ".join(words), " ".join(copy), "x" * 600_000, "x" * 600_000 + " y"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("band", F.lit(1)).withColumn("set", F.lit(2)).withColumn("rep", F.lit(3))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.NearDuplicates(spark, 4, 80).link(docs).collect()}
+    sets = [shingles(t, 4) for t in rows]
+    assert got == {0: (len(sets[0]), 0), 1: (len(sets[1]), 0), 2: (1, 2), 3: (1, 3)}
+
+
 def test_near_copies_without_ids_or_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (1, "p q r s t u")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.NearDuplicates(spark).link(docs).collect())
@@ -148,9 +174,17 @@ def test_previous_factors_equal_their_definition():
         data = rng.integers(0, 2, 400).astype(np.uint8) if length < 50 else np.tile(rng.integers(0, 5, 90).astype(np.uint8), 5)
         at = np.arange(len(data) - length)
         doc = np.sort(rng.integers(0, 6, len(at)))[rng.permutation(len(at))]
-        got = suffixdedup.has_previous_factor(data, at, doc, length)
-        words = [data[p : p + length].tobytes() for p in at]
-        assert got.tolist() == [any(w == v and e < d for v, e in zip(words, doc)) for w, d in zip(words, doc)]
+        got = suffixdedup.longest_previous_factors(data, at, doc, length)
+        raw, want = data.tobytes(), []
+        for p, d in zip(at.tolist(), doc.tolist()):
+            best = 0
+            for q, e in zip(at.tolist(), doc.tolist()):
+                if e < d:
+                    while best < length and raw[p : p + best + 1] == raw[q : q + best + 1]:
+                        best += 1
+            want.append(best)
+        assert got.tolist() == want and (length < 50 or 0 < np.mean(got >= length) < 1)
+    assert len(suffixdedup.longest_previous_factors(data, at[:0], doc[:0], 50)) == 0
 
 
 def vectors(spark, rows):
