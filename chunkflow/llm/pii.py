@@ -5,11 +5,13 @@ and non-overlapping per kind; one that fails its validator is dropped without a
 has a score: a start value per kind, raised when a telling word stands within ``CONTEXT`` characters
 (as far as the neighbouring match of the same kind) and lowered when a misleading one does.
 
-Built-in functions only: no Python runs on the executors.
+Built-in functions only: no Python runs on the executors. Each text is worked on in its own row, so
+nothing is shuffled and no group of copies meets in a task.
 
 Defined results: a null text is an empty text; empty texts have no spans; ``doc_id`` may be null or
-repeated, each input row gives one output row; empty input gives an empty result; further columns
-pass through ``detect`` and ``mask`` unread, and helper columns carry a leading underscore.
+repeated, each input row gives one output row; empty input gives an empty result; a long text takes
+memory in proportion to itself and its matches; further columns pass through ``detect`` and ``mask``
+unread, whatever their names, but for ``spans``, which ``detect`` replaces.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkflow.llm.spans import Rule, explode_matches, label
+from chunkflow.llm.spans import Rule, label, unused, with_matches
 
 CONTEXT = 40
 #: Runs that cannot match are skipped from their first character (lookbehind, possessive runs): the
@@ -33,7 +35,7 @@ RULES = [
 ]
 BASE = ("email", "ip", "card", "phone")
 START = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9}
-FOR = {"email": "mail|contact|write", "ip": "\\bip\\b|host|server|addr", "card": "card|visa|credit|pay", "phone": "phone|call|tel|fax|mobile", "iban": "iban|bank|account|transfer"}
+FOR = {"email": "mail|contact|write", "ip": "\\bip\\b|host|server|addr", "card": "card|visa|credit|pay", "phone": "phone|call|tel|fax|mobile", "iban": "iban|bank|account|payee"}
 AGAINST = {"email": "example", "ip": "version|release", "card": "order|serial|isbn|track", "phone": "fiction|part no", "iban": "model|serial"}
 SPAN = "array<struct<ord:int,start:int,end:int,score:double,kind:string>>"
 
@@ -52,42 +54,33 @@ def mod97(hit: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
-def _valid() -> Column:
-    hit, n_digits = F.col("hit"), F.length(F.regexp_replace("hit", "[^0-9]", ""))
+def _valid(x: Column) -> Column:
+    hit, n_digits = x["hit"], F.length(F.regexp_replace(x["hit"], "[^0-9]", ""))
     part = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
     by_kind = {"ip": hit.rlike(f"^{part}(?:\\.{part}){{3}}$"), "card": F.when(n_digits.between(16, 19), luhn(hit)).otherwise(False), "phone": n_digits.between(8, 15), "iban": F.when(F.length(F.replace(hit, F.lit(" "), F.lit(""))).between(15, 34), mod97(hit)).otherwise(False)}
     out = F.lit(True)
     for n, r in enumerate(RULES):
         if r.kind in by_kind:
-            out = F.when(F.col("ord") == n, by_kind[r.kind]).otherwise(out)
+            out = F.when(x["ord"] == n, by_kind[r.kind]).otherwise(out)
     return out
 
 
-def _score() -> Column:
-    around = F.lower(F.concat("before", F.lit("|"), "hit", F.lit("|"), "after"))
+def _score(x: Column) -> Column:
+    around = F.lower(F.concat(x["before"], F.lit("|"), x["hit"], F.lit("|"), x["after"]))
     out = F.lit(0.5)
     for n, r in enumerate(RULES):
         up, down = F.when(around.rlike(FOR[r.kind]), 0.1).otherwise(0.0), F.when(around.rlike(AGAINST[r.kind]), 0.3).otherwise(0.0)
-        out = F.when(F.col("ord") == n, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(START[r.kind]) + up - down)), 2)).otherwise(out)
+        out = F.when(x["ord"] == n, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(START[r.kind]) + up - down)), 2)).otherwise(out)
     return out
 
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``spans``, by kind as listed and then start.
-
-    Texts are addressed by their hash, so copies are scanned once and rows need no unique id.
-    """
-    keyed = docs.withColumn("_blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    # Only texts that some pattern might match leave their task.
-    maybe = F.lit(False)
-    for r in RULES:
-        maybe = maybe | ((F.col(text).contains(r.needs) if r.needs else F.lit(True)) & F.col(text).rlike(r.pattern))
-    blobs = keyed.filter(maybe).select("_blob", F.col(text).alias("_text")).dropDuplicates(["_blob"])
-    found = explode_matches(blobs, "_blob", "_text", RULES, context=CONTEXT).filter(_valid()).withColumn("score", _score())
+    """All columns of ``docs`` and ``spans``, by kind as listed and then start."""
+    to = unused(docs, "_matches")
     kinds = F.array(*(F.lit(r.kind) for r in RULES))
-    spans = found.groupBy("_blob").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "score"))).alias("_s"))
-    spans = spans.select("_blob", F.transform("_s", lambda x: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), F.element_at(kinds, x["ord"] + 1).alias("kind"))).alias("_spans"))
-    return keyed.join(spans, "_blob", "left").withColumn("spans", F.coalesce("_spans", F.array().cast(SPAN))).drop("_spans", "_blob")
+    found = with_matches(docs, text, RULES, to, context=CONTEXT)
+    spans = F.transform(F.filter(to, _valid), lambda x: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), x["end"].alias("end"), _score(x).alias("score"), F.element_at(kinds, x["ord"] + 1).alias("kind")))
+    return found.select(*(c for c in docs.columns if c != "spans"), spans.cast(SPAN).alias("spans"))
 
 
 def mask(docs: DataFrame, text: str = "text", spans: str = "spans", least: float = 0.0) -> DataFrame:
@@ -101,12 +94,13 @@ def mask(docs: DataFrame, text: str = "text", spans: str = "spans", least: float
     one = lambda x: F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     widened = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"), last(a)["kind"].alias("kind"))))
     runs = F.aggregate(s, F.array().cast(merged), lambda a, x: F.when(F.size(a) == 0, one(x)).when(x["start"] < last(a)["end"], widened(a, x)).otherwise(F.concat(a, one(x))))
-    with_runs = docs.withColumn("_runs", runs)
-    prior = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda x: x["end"]))
+    name = unused(docs, "_runs")
+    with_runs = docs.withColumn(name, runs)
+    prior = F.concat(F.array(F.lit(0)), F.transform(name, lambda x: x["end"]))
     t = F.col(text)
-    pieces = F.transform(F.arrays_zip(F.col("_runs").alias("r"), F.slice(prior, F.lit(1), F.size("_runs")).alias("p")), lambda x: F.concat(F.substr(t, x["p"] + 1, x["r"]["start"] - x["p"]), F.lit("["), F.upper(x["r"]["kind"]), F.lit("]")))
-    tail = F.substr(t, last(F.col("_runs"))["end"] + 1)
-    return with_runs.withColumn(text, F.when(F.size("_runs") == 0, t).otherwise(F.concat(F.concat_ws("", pieces), tail))).drop("_runs")
+    pieces = F.transform(F.arrays_zip(F.col(name).alias("r"), F.slice(prior, F.lit(1), F.size(name)).alias("p")), lambda x: F.concat(F.substr(t, x["p"] + 1, x["r"]["start"] - x["p"]), F.lit("["), F.upper(x["r"]["kind"]), F.lit("]")))
+    tail = F.substr(t, last(F.col(name))["end"] + 1)
+    return with_runs.withColumn(text, F.when(F.size(name) == 0, t).otherwise(F.concat(F.concat_ws("", pieces), tail))).drop(name)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,20 @@
-"""Regular-expression spans with code-point offsets, from built-in functions only.
+"""Regular-expression spans with code-point offsets, from built-in functions only, row by row.
 
 ``split`` and ``regexp_extract_all`` walk a text by the same leftmost, non-overlapping matches, so
-gap and match lengths alternate and their running sum is the offset of each match. The sum is a
-window over exploded matches: linear in their number, however many one text holds.
+gap and match lengths alternate and their running sum is the end of each match. The sum is taken in
+blocks of ``BLOCK`` matches: arrays that grow by an element are copied, and so no longer than a block.
+Nothing is shuffled, and no key is needed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FOUND = "array<struct<ord:int,i:int,gap:int,hit:string,group:string,before:string,after:string>>"
+FOUND = "array<struct<ord:int,start:int,end:int,hit:string,group:string,before:string,after:string>>"
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -30,37 +32,75 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
-def explode_matches(df: DataFrame, key: str, text: str, rules: list[Rule], context: int = 0, due: str | None = None) -> DataFrame:
-    """(key, ord, start, end, hit, group, before, after): one row per match of each rule.
+def may_match(text: str, rules: list[Rule]) -> Column:
+    """Whether some rule matches; false for null."""
+    out = F.lit(False)
+    for r in rules:
+        hit = F.col(text).rlike(r.pattern)
+        out = out | ((F.col(text).contains(r.needs) & hit) if r.needs else hit)
+    return F.coalesce(out, F.lit(False))
 
-    ``key`` must be unique in ``df``. ``due`` names an array of rule tags; other rules are not run.
-    ``before`` and ``after`` are up to ``context`` characters, ending at the next match of that rule.
+
+def unused(df: DataFrame, prefix: str) -> str:
+    """``prefix``, longer if a column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def _running(a: Column, first: Column) -> Column:
+    """Sums of ``first`` and the elements so far, ``first`` included; for short arrays."""
+    return F.aggregate(a, F.array(first), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+
+def _blocks(steps: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
+
+
+def _bases(steps: Column) -> Column:
+    """The sum before each block."""
+    part = lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))
+    return _running(F.transform(_blocks(steps), lambda b: F.aggregate(part(b), F.lit(0), lambda a, x: a + x)), F.lit(0))
+
+
+def _ends(steps: Column, bases: Column) -> Column:
+    part = lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))
+    return F.flatten(F.transform(_blocks(steps), lambda b: F.slice(_running(part(b), F.element_at(bases, b + 1)), F.lit(2), F.lit(BLOCK))))
+
+
+def with_matches(df: DataFrame, text: str, rules: list[Rule], to: str, context: int = 0, due: str | None = None) -> DataFrame:
+    """Adds ``to``, of type ``FOUND``: the matches of each rule in turn, by start.
+
+    ``due`` names an array of rule tags; other rules are not run. ``before`` and ``after`` are up to
+    ``context`` characters, ending at the next match of that rule. A null text has no matches.
     """
-    t = F.col(text)
-    cols = []
+    p, t, kept = unused(df, "_f"), F.col(text), [c for c in df.columns if c != to]
+    col = lambda k, n: F.col(f"{p}{k}{n}")
+    matches, others, steps, bases, ends = {}, {}, {}, {}, {}
     for n, rule in enumerate(rules):
         hit = t.rlike(rule.pattern)
         if rule.needs:
             hit = t.contains(rule.needs) & hit
         if due:
             hit = F.array_contains(due, rule.tag) & hit
-        pat = F.lit(rule.pattern)
-        df = df.withColumn(f"_m{n}", F.when(hit, F.regexp_extract_all(t, pat, F.lit(0))))
-        df = df.withColumn(f"_g{n}", F.when(F.col(f"_m{n}").isNotNull(), F.regexp_extract_all(t, pat, F.lit(rule.group))) if rule.group else F.col(f"_m{n}"))
-        df = df.withColumn(f"_p{n}", F.when(F.col(f"_m{n}").isNotNull(), F.split(t, rule.pattern, -1)))
-        cols.append(n)
-    df = df.filter(" OR ".join(f"_m{n} IS NOT NULL" for n in cols)).select(key, *(c for n in cols for c in (f"_m{n}", f"_g{n}", f"_p{n}")))
+        m = col("m", n)
+        matches[f"{p}m{n}"] = F.when(hit, F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(0)))
+        others[f"{p}p{n}"] = F.when(m.isNotNull(), F.split(t, rule.pattern, -1))
+        if rule.group:
+            others[f"{p}g{n}"] = F.when(m.isNotNull(), F.regexp_extract_all(t, F.lit(rule.pattern), F.lit(rule.group)))
+        steps[f"{p}s{n}"] = F.transform(F.arrays_zip(m.alias("m"), F.slice(col("p", n), F.lit(1), F.size(m)).alias("p")), lambda x: F.length(x["m"]) + F.length(x["p"]))
+        bases[f"{p}b{n}"] = _bases(col("s", n))
+        ends[f"{p}e{n}"] = _ends(col("s", n), col("b", n))
+    for cols in (matches, others, steps, bases, ends):
+        df = df.withColumns({k: F.when(col("m", int(k[len(p) + 1 :])).isNotNull(), c) if cols in (steps, bases, ends) else c for k, c in cols.items()})
 
     def rows(n: int) -> Column:
-        m, g, p = F.col(f"_m{n}"), F.col(f"_g{n}"), F.col(f"_p{n}")
-        z = F.arrays_zip(m.alias("m"), g.alias("g"), F.slice(p, F.lit(1), F.size(m)).alias("p"), F.slice(p, F.lit(2), F.size(m)).alias("q"))
-        each = F.transform(z, lambda x, i: F.struct(F.lit(n).alias("ord"), i.alias("i"), F.length(x["p"]).alias("gap"), x["m"].alias("hit"), x["g"].alias("group"), F.right(x["p"], F.lit(context)).alias("before"), F.left(x["q"], F.lit(context)).alias("after")))
+        m, g, gaps = col("m", n), col("g" if rules[n].group else "m", n), col("p", n)
+        z = F.arrays_zip(m.alias("m"), g.alias("g"), col("e", n).alias("e"), F.slice(gaps, F.lit(1), F.size(m)).alias("p"), F.slice(gaps, F.lit(2), F.size(m)).alias("q"))
+        each = F.transform(z, lambda x: F.struct(F.lit(n).alias("ord"), (x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("hit"), x["g"].alias("group"), F.right(x["p"], F.lit(context)).alias("before"), F.left(x["q"], F.lit(context)).alias("after")))
         return F.when(m.isNotNull(), each).otherwise(F.array().cast(FOUND))
 
-    flat = df.select(key, F.explode(F.concat(*(rows(n) for n in cols))).alias("f")).select(key, "f.*").repartition(key)
-    w = Window.partitionBy(key, "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("gap") + F.length("hit")).over(w)
-    return flat.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.length("hit")).cast("int")).drop("gap", "i")
+    return df.select(*kept, F.concat(*(rows(n) for n in range(len(rules)))).alias(to))
 
 
 def label(kind: Column, s: Column) -> Column:

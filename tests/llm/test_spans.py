@@ -45,7 +45,7 @@ def test_secrets_equal_brute_force(spark):
 def test_ledger_scans_only_what_is_due(spark):
     ledger = scratch.new_path(spark, "test-ledger")
     rows = lambda *t: spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string")
-    n = lambda: spark.read.schema(secrets.LEDGER).parquet(ledger).filter(F.size("ran") > 0).count()
+    n = lambda: secrets.read(spark, ledger).count()
     secrets.scan(spark, rows("a", "b", "a"), ledger)
     assert n() == 2
     secrets.scan(spark, rows("a", "c"), ledger)
@@ -54,7 +54,7 @@ def test_ledger_scans_only_what_is_due(spark):
     assert n() == 3
     newer = [secrets.Rule("assign", "b+", version=2), *secrets.RULES[1:]]
     secrets.scan(spark, rows("b"), ledger, rules=newer)
-    assert spark.read.schema(secrets.LEDGER).parquet(ledger).filter("size(ran) = 1 AND ran[0] = 'assign@2'").count() == 1
+    assert secrets.read(spark, ledger).filter("size(ran) = 1 AND ran[0] = 'assign@2'").count() == 1
     empty = rows("a").limit(0)
     other = scratch.new_path(spark, "test-ledger")
     secrets.scan(spark, empty, other)
@@ -94,7 +94,46 @@ def test_findings_are_of_the_versions_asked_for(spark):
     secrets.scan(spark, rows, ledger, rules=old)
     secrets.scan(spark, rows, ledger, rules=new)
     assert spans(new) == [("letters", 3, 6)] and spans(old) == [("letters", 0, 2)]
-    untagged = spark.read.schema(secrets.LEDGER.replace(",tag:string", "")).parquet(ledger)
+    untagged = secrets.read(spark, ledger).withColumn("spans", F.col("spans").cast("array<struct<kind:string,start:int,end:int,tag:string>>")).withColumn("spans", F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
     ledger = scratch.new_path(spark, "untagged")
     untagged.write.parquet(ledger)
     assert spans(new) == [("letters", 0, 2), ("letters", 3, 6)]
+
+
+def test_a_scan_that_dies_before_its_marker_is_repeated(spark):
+    """Rows without the marker are what a driver lost while files move would leave: part of a batch."""
+    ledger = scratch.new_path(spark, "killed")
+    rows = spark.createDataFrame([(1, "password=abcdefgh1"), (2, "nothing here")], "doc_id long, text string")
+    address = secrets.address(rows).select("blob", F.array(*(F.lit(r.tag) for r in secrets.RULES)).alias("ran"), F.array().cast("array<struct<kind:string,start:int,end:int,tag:string>>").alias("spans"))
+    address.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{ledger}/batch-dead")
+    assert not scratch.exists(spark, f"{ledger}/batch-dead/_SUCCESS") and secrets.read(spark, ledger).count() == 0
+    assert secrets.scan(spark, rows, ledger) and not secrets.scan(spark, rows, ledger)
+    assert {r.doc_id: len(r.spans) for r in secrets.findings(spark, rows, ledger).collect()} == {1: 1, 2: 0}
+
+
+def test_many_matches_in_a_long_text_and_columns_of_any_name(spark):
+    secret = "".join(f"é{'x' * (i % 7)} token={i:08d}, " for i in range(1500))
+    person = "".join(f"{'é' * (i % 5)} a{i}@b.cd or 10.0.{i % 300}.7; " for i in range(1500))
+    docs = spark.createDataFrame([(1, secret), (2, person), (3, None)], "doc_id long, text string")
+    for name in ("_blob", "_text", "_found", "_fm0", "_matches", "due", "blob", "_runs", "ran", "_s"):
+        docs = docs.withColumn(name, F.lit(name))
+    ledger = scratch.new_path(spark, "long")
+    secrets.scan(spark, docs, ledger)
+    got = {r.doc_id: r for r in secrets.findings(spark, docs, ledger).collect()}
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in got[1].spans] == base_secrets(secret) and len(got[1].spans) == 1500
+    assert got[1]._text == "_text" and got[3].due == "due"
+    found = pii.detect(docs)
+    got = {r.doc_id: r for r in found.collect()}
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in got[2].spans] == base_personal(person) and len(got[2].spans) > 2500
+    assert got[2]._blob == "_blob" and got[2]._fm0 == "_fm0" and got[3].blob == "blob"
+    masked = {r.doc_id: r for r in pii.mask(found).collect()}
+    assert masked[2].text.count("[EMAIL]") == 1500 and masked[3].text is None and masked[2]._runs == "_runs"
+
+
+def test_the_query_commits_two_batches_and_none_for_a_replay(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(scratch, "new_path", lambda s, n, new=scratch.new_path: kept.append(new(s, n)) or kept[-1])
+    out = secrets.op1_secrets(spark, "/root/testdata/sf0.001").collect()
+    ledger = next(k for k in kept if "secret-ledger" in k)
+    assert len(scratch.committed(spark, ledger)) == 2
+    assert secrets.read(spark, ledger).count() == len({r.blob for r in out}) == secrets.read(spark, ledger).select("blob").distinct().count()
