@@ -10,16 +10,18 @@ pair merging with a cache; byte offsets of the tokens are kept for decoding.
 Pre-tokens are those of the pattern
 ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
 
+Classes are those of the installed tokenizer library, so new letters are letters as soon as it knows them.
+
 Defined results: a null text counts as empty, and an empty text has no tokens and decodes to no bytes;
 rows are independent, so repeated rows and null ids give rows of their own; a column of the input
-named like an output is replaced; further columns are kept.
+named like an output is replaced; further columns are kept; a long text is worked on whole and takes
+about 30 times its bytes. A text of over 2 GB, or of 2^31 tokens, cannot be held by a row.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate
@@ -31,10 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkflow.llm.scratch import bound_batches
+
 #: Code points worked on at a time (a longer text is worked on by itself); pieces, and characters in
 #: them, that the cache holds; longest piece, in bytes, that is merged together with others.
-CHUNK, CACHED, CACHED_CHARS, TOGETHER = 1 << 19, 200_000, 3 << 20, 128
+CHUNK, CACHED, CACHED_CHARS, TOGETHER = 1 << 18, 200_000, 3 << 20, 128
 NONE = np.int32(2**31 - 1)
+#: What the transition functions split by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Symbols and states of the automaton.
 RESET, LETTER, NUMBER, OTHER, WHITE, SPACE_AHEAD, WHITE_AHEAD, QUOTE1, QUOTE2 = range(9)
@@ -83,11 +89,19 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 @cache
 def _classes() -> np.ndarray:
-    """LETTER, NUMBER, WHITE or OTHER by code point."""
-    white = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-    of = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    out[white] = WHITE
+    """LETTER, NUMBER, WHITE or OTHER by code point, as the tokenizer library tells them apart.
+
+    Its Unicode tables, not Python's, decide: every code point is sent through patterns of one class, and
+    what comes back is in the class.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([i]): i for i in range(256)}
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        found = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
+        out[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -378,6 +392,7 @@ def _with_columns(batch: pa.RecordBatch, cols: dict[str, pa.Array]) -> pa.Record
 def _map(df: DataFrame, fn: Callable, fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     new = {f.name for f in fields}
     schema = T.StructType([f for f in df.schema.fields if f.name not in new and f.name not in drop] + fields)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
@@ -431,6 +446,8 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", starts: str = "toke
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the vocabulary's pattern is not the one that the transition functions are made for")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coded = decode(encode(docs, path, keep_text=False), path)

@@ -40,6 +40,14 @@ def test_long_pieces_and_every_script():
     assert ours(texts) == [THEIRS.encode_ordinary(t) for t in texts]
 
 
+def test_every_code_point_in_every_context():
+    """Letters, numbers, symbols and blanks around each of the 1,112,064 code points."""
+    assert P.PATTERN == bpe.PATTERN
+    for a in range(0, 0x110000, 1 << 16):
+        text = "".join(f"a{c}a 1{c}1 !{c}! {c} a{c} '{c}s" for c in map(chr, range(a, a + (1 << 16))) if not 0xD800 <= ord(c) < 0xE000)
+        assert ours([text]) == [THEIRS.encode_ordinary(text)], hex(a)
+
+
 def test_scan_is_the_running_product():
     import numpy as np
 
@@ -75,13 +83,14 @@ def test_rollups_follow_inserts_revisions_deletes_and_replays(spark):
         for i in rng.sample([*range(12), None], 8):
             op = rng.choice(["insert", "revise", "delete"])
             rows.append((i, op, 1, rng.choice(["s", None]), rng.choice(["en", "de"]), rng.choice([None, "hello world", "a b c d"])))
-            rows.append((i, "insert", 0, "old", "xx", "must not count"))
+            if i is not None:
+                rows.append((i, "insert", 0, "old", "xx", "must not count"))
         batches.append(rows)
         for i, op, seq, s, lang, t in rows:
             if seq:
                 state.pop(i, None)
                 if op != "delete":
-                    state[i] = (s, lang, t or "")
+                    state[i if i is not None else f"nameless {b}"] = (s, lang, t or "")
         assert store.apply(spark.createDataFrame(rows, CHANGES), f"b{b}")
         assert not store.apply(spark.createDataFrame(rows, CHANGES), f"b{b}")
         want = {}
@@ -98,3 +107,19 @@ def test_a_failed_batch_is_written_anew(spark):
     assert store.rollup().count() == 0 and store.apply(rows.limit(0), "none") and store.rollup().count() == 0
     rows.select("doc_id").write.parquet(store._batch_path("log", "b"))  # what a crash before the commit leaves
     assert store.apply(rows, "b") and store.rollup().first().n_docs == 1
+
+
+def test_rows_without_id_each_count(spark):
+    store = tokencount.Store(spark, scratch.new_path(spark, "test-store"), {"a@1": PATH})
+    rows = spark.createDataFrame([(None, "insert", 0, "s", "en", "hello")] * 3 + [(None, "delete", 1, "s", "en", None), (1, "insert", 0, "s", "en", None)], CHANGES)
+    assert store.apply(rows, "a") and store.apply(rows, "b")
+    assert (store.rollup().first().n_docs, store.rollup().first().n_tokens) == (7, 6 * len(THEIRS.encode_ordinary("hello")))
+
+
+def test_the_query_counts_every_document_as_it_is(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n, k = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = n + 1, k + len(THEIRS.encode_ordinary(r.text or ""))
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in tokencount.op4_token_counts(spark, sf).collect()} == want
