@@ -44,24 +44,21 @@ SMALL = ChunkConfig(64, 256, 1024, None)
 
 
 @dataclass(frozen=True)
-class TransferConfig:
-    """One transfer request; the command-line defaults of a file-transfer job."""
-
-    src_host: str
-    dst_host: str
-    file_path: str
-    dst_path: str | None = None
-    parallel_streams: int = 4
-    timeout: int = 3600
-    port: int = 2811
+class JobConfig:
+    """How a job sends values: chunks, codec and its level, order of packets, and what is told of it.
+
+    ``dry_run`` plans and runs nothing; ``log_level`` is set for the session while the job runs.
+    """
+
+    chunks: ChunkConfig = SMALL
+    compression: str = "lz4"
+    level: str = "default"
+    uniques_first: bool = False
     dry_run: bool = False
+    log_level: str | None = None
 
     def __post_init__(self) -> None:
-        if not self.src_host or not self.dst_host or not self.file_path:
-            raise ValueError("both hosts and a path are needed")
-        if self.parallel_streams < 1 or self.timeout < 1 or not 0 < self.port < 65536:
-            raise ValueError("streams, timeout and port must be positive")
-
-    @property
-    def target(self) -> str:
-        return self.dst_path or self.file_path
+        if self.compression not in ("lz4", "none"):
+            raise ValueError("compression must be lz4 or none")
+        if self.log_level not in (None, "DEBUG", "INFO", "WARN", "ERROR"):
+            raise ValueError("log_level must be DEBUG, INFO, WARN or ERROR")

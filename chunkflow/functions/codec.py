@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 #: The largest input of an LZ4 block.
 LZ4_MOST = 0x7E000000
-LEVELS = {"fast": 1, "default": 0, "high": 9}
+#: Effort of the encoder; None is its own default. All blocks decode alike.
+LEVELS = {"fast": None, "default": 3, "high": 12}
 
 
 def lz4_bound(n: int) -> int:
@@ -35,15 +36,12 @@ def _append(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:  # noq
 
 
 def compress(df: DataFrame, column: str, to: str = "compressed", level: str = "default") -> DataFrame:
-    """Adds the LZ4 block of ``column``; null for null and empty values, an error beyond an LZ4 block.
-
-    Levels choose the effort of an encoder; the codec here has one, and all blocks decode alike.
-    """
+    """Adds the LZ4 block of ``column``; null for null and empty values, an error beyond an LZ4 block."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {sorted(LEVELS)}")
 
     def fn(batch: pa.RecordBatch) -> pa.Array:
-        codec = pa.Codec("lz4_raw")
+        codec = pa.Codec("lz4_raw", compression_level=LEVELS[level])
         out = []
         for v in batch.column(column).to_pylist():
             if v is not None and len(v) > LZ4_MOST:

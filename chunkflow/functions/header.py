@@ -10,21 +10,21 @@ MAGIC, SIZE = "4854", 19
 DATA, REFERENCE = 1, 2
 
 
-def _little(value: Column, width: int) -> Column:
+def little(value: Column, width: int) -> Column:
     """Hexadecimal digits of the bytes, least first."""
     big = F.lpad(F.hex(value), 2 * width, "0")
-    return F.array_join(F.reverse(F.regexp_extract_all(big, F.lit("(..)"), F.lit(1))), "")
+    return F.concat(*(F.substring(big, 2 * i - 1, 2) for i in range(width, 0, -1)))
 
 
 def encode(kind: Column, offset: Column, length: Column, original: Column) -> Column:
     """BINARY header. Values beyond their field make it null."""
     fits = kind.between(0, 255) & (offset >= 0) & length.between(0, 2**32 - 1) & original.between(0, 2**32 - 1)
-    return F.when(fits, F.unhex(F.concat(F.lit(MAGIC), _little(kind.cast("long"), 1), _little(offset.cast("long"), 8), _little(length.cast("long"), 4), _little(original.cast("long"), 4))))
+    return F.when(fits, F.unhex(F.concat(F.lit(MAGIC), little(kind.cast("long"), 1), little(offset.cast("long"), 8), little(length.cast("long"), 4), little(original.cast("long"), 4))))
 
 
 def _number(header: Column, first: int, width: int) -> Column:
-    pairs = F.regexp_extract_all(F.hex(F.substring(header, first + 1, width)), F.lit("(..)"), F.lit(1))
-    return F.conv(F.array_join(F.reverse(pairs), ""), 16, 10).try_cast("long")
+    digits = F.hex(F.substring(header, first + 1, width))
+    return F.conv(F.concat(*(F.substring(digits, 2 * i - 1, 2) for i in range(width, 0, -1))), 16, 10).try_cast("long")
 
 
 def decode(header: Column) -> Column:

@@ -56,3 +56,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     return F.lit(100.0) * part / F.nullif(whole, F.lit(0))
+
+
+def mib_per_second(n: Column, seconds: Column) -> Column:
+    """Null where no time has passed."""
+    return n / F.lit(float(1 << 20)) / F.nullif(seconds, F.lit(0.0))

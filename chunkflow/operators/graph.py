@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkflow.functions.scalar import hop_count, link_cost, path_valid
+from chunkflow.scratch import Table
 
 METRICS = ["bandwidth_mbps", "latency_ms", "packet_loss_rate"]
 
@@ -39,17 +38,15 @@ def neighbors(links: DataFrame) -> DataFrame:
     return nodes(links).join(out, "node", "left")
 
 
-def _cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it again: lineage does not grow with the rounds."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/chunkflow').rstrip('/')}/paths-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def has_node(links: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, known) of ``asked(node)``: whether a link starts or ends there."""
+    known = nodes(links).withColumn("known", F.lit(True))
+    return asked.select("node").join(known, "node", "left").select("node", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def clear(links: DataFrame) -> DataFrame:
+    """No links, with their columns."""
+    return links.limit(0)
 
 
 def shortest_paths(links: DataFrame, sources: DataFrame) -> DataFrame:
@@ -59,26 +56,27 @@ def shortest_paths(links: DataFrame, sources: DataFrame) -> DataFrame:
     missing cost lead nowhere, and a negative cost is an error. Rounds of relaxation go on while a path
     improves; a round joins only the paths that the one before improved.
     """
-    spark = links.sparkSession
     e = with_cost(links).filter(F.col("cost").isNotNull() & (F.col("cost") < float("inf"))).groupBy("src", "dst").agg(F.min("cost").alias("w"))
-    e, held = _cut(e)
+    held = Table(e, "links")
+    e = held.df
     if e.filter("w < 0").limit(1).count():
         raise ValueError("a link has a negative cost")
     key = F.struct(F.col("total_cost"), F.col("hops"), F.col("nodes"))
     start = sources.select(F.col("node").alias("src")).distinct().join(nodes(links).withColumnRenamed("node", "src"), "src", "left_semi")
-    best, old = _cut(start.select("src", F.col("src").alias("dst"), F.array("src").alias("nodes"), F.lit(0.0).alias("total_cost"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")))
+    old = Table(start.select("src", F.col("src").alias("dst"), F.array("src").alias("nodes"), F.lit(0.0).alias("total_cost"), F.lit(0).alias("hops"), F.lit(True).alias("fresh")), "paths")
+    best = old.df
     while True:
         front = best.filter("fresh").select(F.col("src").alias("s"), F.col("dst").alias("via"), "nodes", "total_cost", "hops")
         step = front.join(e, front.via == e.src).filter(~F.array_contains("nodes", F.col("dst")))
         step = step.select(F.col("s").alias("src"), "dst", F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("total_cost") + F.col("w")).alias("total_cost"), (F.col("hops") + 1).alias("hops"))
         both = best.select("src", "dst", key.alias("k"), F.lit(0).alias("new")).unionByName(step.select("src", "dst", key.alias("k"), F.lit(1).alias("new")))
         now = both.groupBy("src", "dst").agg(F.min(F.struct("k", "new")).alias("m")).select("src", "dst", "m.k.nodes", "m.k.total_cost", "m.k.hops", (F.col("m.new") == 1).alias("fresh"))
-        best, path = _cut(now)
-        _remove(spark, old)
-        old = path
+        now = Table(now, "paths")
+        old.drop()
+        best, old = now.df, now
         if not best.filter("fresh").limit(1).count():
             break
-    _remove(spark, held)
+    held.drop()
     return best.select("src", "dst", "nodes", "total_cost", "hops")
 
 

@@ -6,12 +6,15 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkflow.functions import codec, header
+from chunkflow.functions.scalar import mib_per_second, percent
 
+#: Bytes of streams whose packets leave a task together.
+TOGETHER = 8 << 20
 PACKET = "stream_id long, seq long, type short, offset long, length long, original_length long, payload binary, status string"
 #: Errors that end a stream, and those of single packets.
 FRAMING = ("truncated_header", "bad_magic", "unknown_type", "truncated_payload")
@@ -23,34 +26,57 @@ def wire_hash(hash_: str | Column = "hash") -> Column:
     return F.unhex(F.substring(hash_, 1, 16))
 
 
-def encode_packets(marked: DataFrame, key: str, compression: str = "lz4", uniques_first: bool = False, seed: int = 42) -> DataFrame:
+def encode_packets(marked: DataFrame, key: str, compression: str = "lz4", uniques_first: bool = False, seed: int = 42, level: str = "default") -> DataFrame:
     """(stream_id, seq, type, offset, length, original_length, header, payload) of marked chunks.
 
     A repeated chunk becomes a reference of eight bytes; others carry their bytes, as an LZ4 block or,
-    with ``compression="none"``, as they are. Duplicates are told from others before the codec runs, so
-    none is compressed. ``uniques_first`` sends data before references, each in an order that ``seed``
-    shuffles; decoding does not depend on it.
+    with ``compression="none"``, as they are. Only bytes that are sent reach the codec. Packets go by
+    ``chunk_no`` where there is one and all are sent, else by offset; ``uniques_first`` sends data before
+    references, each in an order that ``seed`` shuffles; decoding does not depend on it.
     """
     if compression not in ("lz4", "none"):
         raise ValueError("compression must be lz4 or none")
-    rows = marked.select(F.col(key).cast("long").alias("stream_id"), "offset", F.col("length").alias("original_length"), "is_duplicate", F.when(F.col("is_duplicate"), wire_hash()).otherwise(F.col("data")).alias("_body"))
-    data, refs = rows.filter(~F.col("is_duplicate")), rows.filter("is_duplicate").withColumnRenamed("_body", "payload")
-    data = codec.compress(data, "_body", "payload").drop("_body") if compression == "lz4" else data.withColumnRenamed("_body", "payload")
-    both = data.unionByName(refs)
+    numbered = "chunk_no" in marked.columns and not uniques_first
+    rows = marked.select(F.col(key).cast("long").alias("stream_id"), "offset", F.col("length").alias("original_length"), "is_duplicate", *(["chunk_no"] if numbered else []), wire_hash().alias("_hash"), F.when(~F.col("is_duplicate"), F.col("data")).alias("payload"))
+    rows = codec.compress(rows, "payload", "payload", level) if compression == "lz4" else rows
+    rows = rows.withColumn("payload", F.when(F.col("is_duplicate"), F.col("_hash")).otherwise(F.col("payload"))).drop("_hash")
     order = [F.col("is_duplicate"), F.xxhash64("offset", F.lit(seed)), F.col("offset")] if uniques_first else [F.col("offset")]
-    from pyspark.sql import Window
-
-    # Sequence numbers are per stream: one file's chunks are one partition of the window.
-    both = both.withColumn("seq", (F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)) - 1).cast("long"))
+    # Chunks of whole values are numbered already; else one file's chunks are one partition of a window.
+    seq = F.col("chunk_no") if numbered else F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)) - 1
     kind = F.when(F.col("is_duplicate"), header.REFERENCE).otherwise(header.DATA)
     size = F.octet_length("payload").cast("long")
-    return both.select("stream_id", "seq", kind.cast("short").alias("type"), "offset", size.alias("length"), "original_length", header.encode(kind, F.col("offset"), size, F.col("original_length")).alias("header"), "payload")
+    return rows.select("stream_id", seq.cast("long").alias("seq"), kind.cast("short").alias("type"), "offset", size.alias("length"), "original_length", header.encode(kind, F.col("offset"), size, F.col("original_length")).alias("header"), "payload")
 
 
 def to_streams(packets: DataFrame) -> DataFrame:
     """(stream_id, stream): all packets of a stream, one after another."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", F.concat("header", "payload").alias("b"))))
-    return packets.groupBy("stream_id").agg(parts.alias("p")).select("stream_id", F.concat_ws("", F.transform("p", lambda x: F.hex(x["b"]))).alias("h")).select("stream_id", F.unhex("h").alias("stream"))
+    rows = packets.select("stream_id", "seq", F.concat("header", "payload").alias("b"))
+    return rows.groupBy("stream_id").agg(F.expr("listagg(b) WITHIN GROUP (ORDER BY seq)").alias("stream"))
+
+
+def send_report(packets: DataFrame, seconds: float | None = None, *by: str) -> DataFrame:
+    """What a sender counts: bytes read and chunked, compressed and sent; chunks in all, repeated and unique.
+
+    ``compressed_percent`` is compressed bytes of unique chunks over all bytes read, ``duplicate_percent`` is
+    by number of chunks. ``seconds`` is the time taken, for ``read_mib_s`` and ``sent_mib_s``.
+    """
+    repeated = F.col("type") == header.REFERENCE
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = packets.groupBy(*by).agg(
+        zero(F.col("original_length")).alias("bytes_read"),
+        zero(F.col("original_length")).alias("bytes_chunked"),
+        zero(F.when(~repeated, F.col("length"))).alias("bytes_compressed"),
+        zero(F.col("length") + header.SIZE).alias("bytes_sent"),
+        F.count("*").alias("chunks_total"),
+        F.count_if(repeated).alias("chunks_duplicate"),
+        F.count_if(~repeated).alias("chunks_unique"),
+    )
+    share = lambda a, b: F.round(F.coalesce(percent(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    out = out.withColumn("compressed_percent", share("bytes_compressed", "bytes_read")).withColumn("duplicate_percent", share("chunks_duplicate", "chunks_total"))
+    if seconds is None:
+        return out
+    rate = lambda c: F.round(mib_per_second(F.col(c), F.lit(seconds)), 6)
+    return out.withColumn("read_mib_s", rate("bytes_read")).withColumn("sent_mib_s", rate("bytes_sent"))
 
 
 def decode_packets(streams: DataFrame) -> DataFrame:
@@ -64,10 +90,13 @@ def decode_packets(streams: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = struct.Struct("<2sBQII")
         schema = pa.schema([("stream_id", pa.int64()), ("seq", pa.int64()), ("type", pa.int16()), ("offset", pa.int64()), ("length", pa.int64()), ("original_length", pa.int64()), ("payload", pa.binary()), ("status", pa.string())])
+        def emit(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, schema, strict=True)], schema=schema)
+
         for batch in batches:
-            for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, at, seq = [], 0, 0
-                data = data or b""
+            rows, held = [], 0
+            for sid, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, at, seq = value.as_py() or b"", 0, 0
                 while at < len(data):
                     if len(data) - at < header.SIZE:
                         rows.append((sid, seq, None, None, None, None, None, "truncated_header"))
@@ -83,7 +112,11 @@ def decode_packets(streams: DataFrame) -> DataFrame:
                     at += length
                     rows.append((sid, seq, kind, offset, length, original, payload, "bad_dedup_length" if kind == header.REFERENCE and length != 8 else "ok"))
                     seq += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, schema, strict=True)], schema=schema)
+                held += len(data)
+                if held > TOGETHER:
+                    yield emit(rows)
+                    rows, held = [], 0
+            yield emit(rows)
 
     return streams.select(F.col("stream_id").cast("long"), "stream").mapInArrow(run, PACKET)
 

@@ -18,16 +18,18 @@ def resolve_refs(packets: DataFrame, compression: str = "lz4") -> DataFrame:
     earlier; else ``hash_not_found``. Only what was decompressed whole can be referred to. A size that
     is not the announced one is a warning.
     """
-    own = packets.filter((F.col("type") == header.DATA) & (F.col("status") == "ok"))
-    own = codec.decompress(own, "payload", "original_length", "data") if compression == "lz4" else own.withColumn("data", F.col("payload"))
-    own = own.withColumn("status", F.when(F.col("data").isNull(), "decompress_failed").otherwise("ok"))
-    good = own.filter("status = 'ok'").withColumn("key", wire_hash(content_hash()))
-    first = good.groupBy("stream_id", "key").agg(F.min(F.struct("seq", "data")).alias("f")).select("stream_id", "key", F.col("f.seq").alias("at"), F.col("f.data").alias("data"))
-    refs = packets.filter((F.col("type") == header.REFERENCE) & (F.col("status") == "ok")).withColumn("key", F.col("payload"))
-    found = refs.join(first, ["stream_id", "key"], "left").withColumn("data", F.when(F.col("at") < F.col("seq"), F.col("data")))
-    found = found.withColumn("status", F.when(F.col("data").isNull(), "hash_not_found").otherwise("ok")).select(*own.columns)
-    rest = packets.filter(~((F.col("status") == "ok") & F.col("type").isin(header.DATA, header.REFERENCE)) | F.col("status").isNull()).withColumn("data", F.lit(None).cast("binary")).select(*own.columns)
-    out = own.unionByName(found).unionByName(rest)
+    read = F.col("status") == "ok"
+    is_data, is_ref = read & (F.col("type") == header.DATA), read & (F.col("type") == header.REFERENCE)
+    own = packets.withColumn("data", F.when(is_data, F.col("payload")))
+    own = codec.decompress(own, "data", "original_length", "data") if compression == "lz4" else own
+    own = own.withColumn("status", F.when(is_data & F.col("data").isNull(), "decompress_failed").otherwise(F.col("status")))
+    # One pass: packets meet by stream and hash, and a reference looks back. Others have places of their own.
+    good, wanted = F.col("data").isNotNull(), read & (F.col("type") == header.REFERENCE)
+    own = own.withColumn("_key", F.when(good, wire_hash(content_hash())).when(wanted, F.col("payload")).otherwise(F.encode(F.col("seq").cast("string"), "utf-8")))
+    back = Window.partitionBy("stream_id", "_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.first(F.when(good, F.col("data")), ignorenulls=True).over(back)
+    out = own.withColumn("_earlier", earlier).withColumn("data", F.when(wanted, F.col("_earlier")).otherwise(F.col("data")))
+    out = out.withColumn("status", F.when(is_ref & F.col("data").isNull(), "hash_not_found").otherwise(F.col("status"))).drop("_key", "_earlier")
     off = F.octet_length("data") != F.col("original_length")
     return out.withColumn("warning", F.when(off, "size_mismatch"))
 

@@ -26,6 +26,30 @@ def read_blocks(spark: SparkSession, path: str, size: int = 4 << 20) -> DataFram
     return split_blocks(read_files(spark, path), "path", "content", size)
 
 
+def read_ranges(spark: SparkSession, path: str, size: int = 4 << 20) -> DataFrame:
+    """``read_blocks`` for files of any size: each task opens a file at its block and reads no more.
+
+    Blocks are dealt to tasks by place, so one large file is read by many of them.
+    """
+    schema = "path string, block_no int, offset long, length long, data binary"
+    sizes = file_sizes(spark, path).filter("length > 0")
+    at = sizes.withColumn("offset", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)"))).select("path", F.expr(f"cast(offset div {size} as int)").alias("block_no"), "offset", F.least(F.lit(size).cast("long"), F.col("length") - F.col("offset")).alias("length"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for i, (name, _, offset, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                where, base = fs.FileSystem.from_uri(name)
+                with where.open_input_file(base) as f:
+                    data = f.read_at(length, offset)
+                if len(data) != length:
+                    raise OSError(f"{name} has changed while it was read")
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([data], pa.binary())], names=["path", "block_no", "offset", "length", "data"])
+
+    return at.repartition("path", "block_no").mapInArrow(run, schema)
+
+
 def read_streams(spark: SparkSession, path: str) -> DataFrame:
     """(path, stream): raw packet streams, one to a file."""
     return read_files(spark, path).select("path", F.col("content").alias("stream"))

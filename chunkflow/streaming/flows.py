@@ -31,6 +31,50 @@ def collect_packets(packets: DataFrame, store: str, checkpoint: str) -> Streamin
     return packets.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+RESOLVED = "stream_id long, seq long, offset long, data binary, status string"
+_STATE = "keys array<binary>, seqs array<long>, data array<binary>, waiting array<struct<seq:long,offset:long,key:binary>>"
+
+
+def resolve_stream(packets: DataFrame) -> DataFrame:
+    """(stream_id, seq, offset, data, status) of a stream of decoded, uncompressed packets, each as soon as it can be.
+
+    Keyed by stream. State holds the distinct chunks a stream has sent so far, each with its first
+    sequence number, and references that came before what they refer to. A reference takes the chunk
+    of its hash if that has a lesser number; one that is never found is never emitted.
+    """
+    import hashlib
+
+    import pandas as pd
+
+    def step(key, frames, state):  # noqa: ANN001, ANN202
+        keys, seqs, data, waiting = state.get if state.exists else ([], [], [], [])
+        first = {bytes(k): (s, bytes(d)) for k, s, d in zip(keys, seqs, data, strict=True)}
+        refs = [(w["seq"], w["offset"], bytes(w["key"])) if isinstance(w, dict) else (w[0], w[1], bytes(w[2])) for w in waiting]
+        out = []
+        for frame in frames:
+            for r in frame.sort_values("seq").itertuples():
+                if r.status != "ok":
+                    out.append((key[0], r.seq, None, None, r.status))
+                elif r.type == 1:
+                    chunk = bytes(r.payload)
+                    h = hashlib.sha256(chunk).digest()[:8]
+                    if h not in first or r.seq < first[h][0]:
+                        first[h] = (int(r.seq), chunk)
+                    out.append((key[0], r.seq, r.offset, chunk, "ok"))
+                else:
+                    refs.append((int(r.seq), int(r.offset), bytes(r.payload)))
+        left = []
+        for seq, offset, h in refs:
+            if h in first and first[h][0] < seq:
+                out.append((key[0], seq, offset, first[h][1], "ok"))
+            else:
+                left.append((seq, offset, h))
+        state.update((list(first), [s for s, _ in first.values()], [d for _, d in first.values()], left))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "offset", "data", "status"])
+
+    return packets.groupBy("stream_id").applyInPandasWithState(step, RESOLVED, _STATE, "append", "NoTimeout")
+
+
 def restored(spark: SparkSession, store: str, compression: str = "lz4") -> DataFrame:
     """(stream_id, content) of the packets collected so far, in whatever order they came."""
     return reassemble(resolve_refs(spark.read.parquet(store).drop("batch"), compression))

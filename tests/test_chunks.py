@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chunkflow.config import SMALL, ChunkConfig, TransferConfig
+from chunkflow.config import SMALL, ChunkConfig, JobConfig
 from chunkflow.functions.gear import _stateful, cut_points
 from chunkflow.operators.chunk import chunk_bytes, split_blocks
 from chunkflow.operators.dedup import drop_duplicates, mark_duplicates, report
@@ -38,7 +38,7 @@ def test_config_is_checked(bad):
     with pytest.raises(ValueError):
         ChunkConfig(*bad)
     with pytest.raises(ValueError):
-        TransferConfig("a", "b", "c", parallel_streams=0)
+        JobConfig(compression="zip")
 
 
 def test_chunks_tile_values_and_nulls_have_none(spark):

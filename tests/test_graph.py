@@ -49,3 +49,9 @@ def test_routes_as_text(spark):
     df = spark.createDataFrame([("  GZ  WH BJ\n",), ("",)], "t string").select(scalar.parse_route(F.col("t")).alias("n"))
     assert [r.n for r in df.collect()] == [["GZ", "WH", "BJ"], []]
     assert [r.m for r in df.select(scalar.relay_nodes(F.col("n")).alias("m")).collect()] == [["WH"], []]
+
+
+def test_nodes_known_and_links_cleared(demo, spark):
+    got = graph.has_node(demo, spark.createDataFrame([("BJ",), ("nowhere",)], "node string")).collect()
+    assert {r.node: r.known for r in got} == {"BJ": True, "nowhere": False}
+    assert graph.clear(demo).count() == 0 and graph.clear(demo).columns == demo.columns

@@ -61,9 +61,72 @@ def test_lz4_keeps_what_it_can_and_names_what_it_cannot(spark):
 def test_round_trip_in_any_order(spark, first, compression):
     texts = ["", "é" * 3000, "same line\n" * 900, "z" * 64]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    done = job.transfer(df, "id", "text", compression=compression, uniques_first=first)
+    done = job.round_trip(df, "id", "text", compression=compression, uniques_first=first)
     assert done.verified.filter("same_size AND same_content").count() == len(texts)
 
 
 def test_xxh3_of_a_known_value(spark):
     assert codec.xxh3(spark.createDataFrame([(bytearray(b"abc"),)], "b binary"), "b").first().xxh3 == "78af5f94892f3950"
+
+
+def test_jobs_tell_their_result_and_clean_up(spark):
+    from pathlib import Path
+
+    from chunkflow import scratch
+    from chunkflow.config import JobConfig
+
+    df = spark.createDataFrame([(1, "é" * 3000), (2, "line\n" * 900), (3, ""), (4, None)], "id long, text string")
+    assert job.run(df, "id", "text", JobConfig(dry_run=True)).status == "planned"
+    out = job.run(df, "id", "text", JobConfig(level="high", uniques_first=True))
+    assert out.status == "done" and {r.id for r in out.accepted.collect()} == {1, 2, 3}
+    assert out.report["chunks_total"] == out.report["chunks_unique"] + out.report["chunks_duplicate"] and out.report["read_mib_s"] > 0
+    folders = [Path(t.path.removeprefix("file:")) for t in out.tables]
+    assert len(folders) == 4 and all(f.exists() for f in folders)
+    out.close()
+    assert not any(f.exists() for f in folders) and not set(map(str, folders)) & set(scratch._left)
+
+
+def test_a_job_whose_values_come_back_changed_has_failed(spark, monkeypatch):
+    lost = job.to_streams
+    monkeypatch.setattr(job, "to_streams", lambda p: lost(p.filter("NOT (stream_id = 2 AND seq = 1)")))
+    df = spark.createDataFrame([(1, "é" * 3000), (2, "".join(map(str, range(2000))))], "id long, text string")
+    out = job.run(df, "id", "text")
+    assert out.status == "failed" and [r.id for r in out.accepted.collect()] == [1]
+    out.close()
+
+
+def test_levels_compress_differently_and_decode_alike(spark):
+    import random
+
+    rng = random.Random(0)
+    raw = " ".join(rng.choices([f"w{i}" for i in range(300)], k=20_000)).encode()
+    df = spark.createDataFrame([(bytearray(raw), len(raw))], "raw binary, n long")
+    sizes = {}
+    for level in codec.LEVELS:
+        r = codec.decompress(codec.compress(df, "raw", level=level), "compressed", "n", "back").first()
+        sizes[level] = len(r.compressed)
+        assert bytes(r.back) == raw
+    assert sizes["high"] <= sizes["default"] < sizes["fast"]
+
+
+def test_plans_cut_each_value_once(spark):
+    from chunkflow.plans.queries import QUERIES
+
+    for name in ("dedup_report", "dedup_by_source", "packet_headers", "send_report"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1, name
+
+
+def test_streamed_references_wait_for_their_chunk(spark, tmp_path):
+    from chunkflow.streaming import flows
+
+    key = __import__("hashlib").sha256(b"abc").digest()[:8]
+    ok = lambda sid, seq, kind, off, data: (sid, seq, kind, off, len(data), 3, bytearray(data), "ok")
+    batches = [[ok(1, 4, 2, 12, key), ok(1, 0, 2, 0, key), ok(2, 1, 2, 3, key)], [ok(1, 1, 1, 3, b"abc"), (1, 9, None, None, None, None, None, "bad_magic")], [ok(1, 2, 2, 6, key)]]
+    out = f"{tmp_path}/out"
+    for b in batches:
+        spark.createDataFrame(b, packet.PACKET).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(packet.PACKET).parquet(f"{tmp_path}/in")
+        flows.resolve_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.stream_id, r.seq, r.offset, bytes(r.data) if r.data else None, r.status) for r in spark.read.schema(flows.RESOLVED).parquet(out).collect()}
+    assert got == {(1, 1, 3, b"abc", "ok"), (1, 4, 12, b"abc", "ok"), (1, 2, 6, b"abc", "ok"), (1, 9, None, None, "bad_magic")}

@@ -46,3 +46,28 @@ def test_blocks_and_files_from_disk(spark, tmp_path):
     out = files.write_files(spark.createDataFrame([("n", bytearray(b"abc"))], "name string, content binary"), "name", "content", f"file://{tmp_path}/out").collect()
     assert out[0].length == 3 and (tmp_path / "out" / "n").read_bytes() == b"abc"
     assert bytes(files.read_streams(spark, f"{tmp_path}/out").first().stream) == b"abc"
+
+
+def test_ranges_of_a_file_are_read_by_themselves(spark, tmp_path):
+    from chunkflow.sources import files
+
+    data = bytes(range(256)) * 40
+    (tmp_path / "large.bin").write_bytes(data)
+    rows = files.read_ranges(spark, str(tmp_path), 1000).orderBy("block_no").collect()
+    assert b"".join(bytes(r.data) for r in rows) == data and [r.length for r in rows] == [1000] * 10 + [240]
+
+
+def test_a_cluster_needs_a_named_folder(spark, monkeypatch):
+    from chunkflow import scratch
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert scratch.shared_dir(Session) == scratch.LOCAL_DEFAULT
