@@ -251,10 +251,50 @@ def test_groups_wider_than_the_candidates_keep_their_links(spark):
     assert {i: c for i, (_, c) in got.items()} == want
 
 
+def brute_graph(rows):
+    pairs = brute_links(rows)
+    n, want = Counter(a for a, _ in pairs), closure([i for i, _, _ in rows], pairs)
+    return {i: (n[i], want[i]) for i in want}
+
+
+@pytest.mark.parametrize("most", [4000, 120])
+def test_searches_cross_shards(spark, monkeypatch, most):
+    """More than twenty shards of two each, groups wider than a shard, and large shards dealt again."""
+    monkeypatch.setattr(flatgraph, "SHARD", 50)
+    monkeypatch.setattr(flatgraph, "MOST", most)
+    monkeypatch.setattr(flatgraph, "LEAST_RECALL", 0.0)  # what the search finds, not what is mended after it
+    rng = np.random.default_rng(31)
+    rows = [(i, v, 1) for i, v in enumerate(groups(rng, [1] * 300 + [3] * 150 + [30] * 10 + [240], noise=0.05))]
+    graph = flatgraph.FlatGraph(spark, 0.93)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph.link(vectors(spark, rows)).collect()}
+    want = brute_graph(rows)
+    found, true = (sum(n for n, _ in x.values()) for x in (got, want))
+    assert len(rows) / 50 > 20 and graph.rounds > 1 and graph.recall > 0.99
+    assert 0.999 * true <= found <= true and all(got[i][0] <= want[i][0] for i in want)
+    assert np.mean([got[i][1] == want[i][1] for i in want]) > 0.999
+
+
+def test_links_between_vectors_without_a_common_shard_are_counted_once(spark):
+    """Two shards by hand, one node in both: the ends of the chain meet by a visit, from either side."""
+    angle = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    at = {1: 0.0, 2: 0.15, 3: 0.3, 4: 1.5}
+    rows = [(f"2|1", i, 1, angle(a), s, sh) for i, a in at.items() for s in {1: [10], 2: [10, 20], 3: [20], 4: [20]}[i] for sh in [{1: [10], 2: [10, 20], 3: [20], 4: [20]}[i]]]
+    near = {1: [2], 2: [1, 3], 3: [2, 4], 4: [3]}
+    members = spark.createDataFrame([(*r, near[r[1]]) for r in rows], "space string, id long, times long, v array<double>, shard long, shards array<long>, near array<long>")
+    home = flatgraph._links(members, 0.93).collect()
+    assert {(r.id, tuple(r.next), tuple(r.enter)) for r in home if r.next} == {(1, (20,), (2,)), (3, (10,), (2,))}
+    visits = spark.createDataFrame([(20, "2|1", 1, 1, angle(at[1]), 2, [10], [20]), (10, "2|1", 3, 1, angle(at[3]), 2, [20], [10])], "shard long, space string, id long, times long, v array<double>, enter long, seen array<long>, fresh array<long>")
+    more = flatgraph._visited(members, visits, 0.93).collect()
+    n = Counter()
+    for r in home + more:
+        n[r.id] += r.n
+    assert n == {1: 2, 2: 2, 3: 2, 4: 0} and {r.to for r in more} == {1}
+
+
 def test_labels_short_of_the_floor_are_compared_whole(spark, monkeypatch):
     """A search that finds nothing leaves no result behind: all pairs are compared, in several blocks."""
     monkeypatch.setattr(flatgraph, "SIDE", 64)
-    monkeypatch.setattr(flatgraph, "_links", lambda rows, least: rows.select("space", "id", F.lit(0).cast("long").alias("n"), F.col("id").alias("to")))
+    monkeypatch.setattr(flatgraph, "_links", lambda rows, least: rows.select("space", "id", F.lit(0).cast("long").alias("n"), F.col("id").alias("to"), *(F.array().cast("array<long>").alias(c) for c in ("next", "enter"))))
     rng = np.random.default_rng(22)
     rows = [(i, v, 1) for i, v in enumerate(groups(rng, [40, 70, 1, 2, 90]))]
     pairs = brute_links(rows)
