@@ -1,33 +1,13 @@
-"""Tables that cut lineage, kept in the folder that all executors share.
-
-The folder is ``spark.checkpoint.dir`` when the session names one. Where it is unset a local folder
-serves, but only if the master is local too: on a cluster each executor would write to its own disk.
-"""
+"""Scratch tables, markers of finished batches, samples by hash, and bounds on Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_DEFAULT = "file:///tmp/checkpoints/chunkflow"
-_left: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not named and master.partition("[")[0] != "local":
-        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-    return (named or LOCAL_DEFAULT).rstrip("/")
+from chunkflow.scratch import Table, exists, new_path, remove, shared_dir
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _left[path] = spark
-    return path
+__all__ = ["Table", "bound_batches", "collect_garbage", "committed", "exists", "new_path", "plan_bytes", "remove", "sampled", "shared_dir"]
 
 
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
@@ -37,11 +17,6 @@ def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def committed(spark: SparkSession, folder: str) -> list[str]:
     """Names of the subfolders of ``folder`` that a writer has finished; its marker comes last."""
     if not exists(spark, folder):
@@ -56,25 +31,6 @@ def sampled(share: Column | float, *by: str | Column) -> Column:
     return F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(1 << 53)).cast("double") < share * F.lit(2.0**53)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    _left.pop(path, None)
-
-
-class Table:
-    """A DataFrame written once to the shared folder; ``drop()`` when nothing reads it any more."""
-
-    def __init__(self, df: DataFrame, name: str) -> None:
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        remove(self.spark, self.path)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """What Catalyst expects the input to weigh, from file sizes; sets numbers of buckets and first guesses, never what is computed.
 
@@ -90,12 +46,3 @@ def collect_garbage(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_left.items()):
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch space
-            pass
