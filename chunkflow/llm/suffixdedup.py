@@ -14,7 +14,10 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
 
 Before each shuffle a task settles what it holds: of the documents with one name or one segment, only
 the least asks on; the others are known to repeat it. So a passage that a third of all documents
-share sends a row per task, not one per document. Exact: names choose what is compared, bytes decide.
+share sends a row per task, not one per document. Its edges, windows that reach into what stands around
+it, differ in each document but have its names: names so common are heavy, and their windows meet by
+their own digests instead, spread over all buckets. Exact: names choose what is compared, and bytes, or
+for heavy names 128 bits of a BLAKE2b digest, decide.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a row without
 ``doc_id`` neither loses bytes nor takes them from others; rows with one id do not count as earlier
@@ -25,6 +28,7 @@ than each other; an empty table gives an empty result; a long text is worked on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ SEED = 20
 #: Bytes hashed at a time (a longer text by itself), names held before a task sends them on, and the
 #: bits of a text's place under its number among texts of one id.
 CHUNK, HELD, PLACE = 1 << 19, 500_000, 40
+#: Occurrences from which a name is heavy, and the share of all documents that it must reach.
+HEAVY, HEAVY_SHARE = 4096, 1 / 20_000
 MIX48 = np.uint64(16)
 
 
@@ -150,8 +156,9 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 NAMES = pa.schema([("to", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 NAMES_SQL = "to int, kind int, part int, docs binary, counts binary, hashes binary"
-#: Kinds of rows: a name of one document of a task, a name of several, and a document known to have a repeated name.
-ONE, SEVERAL, KNOWN = range(3)
+#: Kinds of rows: a name of one document of a task, a name of several, a document known to have a repeated
+#: name, and how often a name of several occurs (in place of documents).
+ONE, SEVERAL, KNOWN, TIMES = range(4)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -168,7 +175,9 @@ def _names(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame
         names = h[at]
         bucket = (mix(names) % np.uint64(buckets)).astype(np.int64)
         rows = [r for kind, m in ((ONE, ~several), (SEVERAL, several)) for r in _pack(bucket[m], least[m], names[m], kind)]
-        held = np.repeat(several, np.diff(np.append(at, len(h))))
+        times = np.diff(np.append(at, len(h)))
+        rows += _pack(bucket[several], times[several], names[several], TIMES)
+        held = np.repeat(several, times)
         rows += _pack(group_of(doc[held], groups), doc[held], h[held], KNOWN, np.arange(buckets))
         return _batch(rows, NAMES)
 
@@ -190,8 +199,8 @@ def _names(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame
     return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, NAMES_SQL)
 
 
-def _repeated_names(names: DataFrame, groups: int) -> DataFrame:
-    """Which documents have which repeated names, by group of documents."""
+def _repeated_names(names: DataFrame, groups: int, heavy: int) -> DataFrame:
+    """Which documents have which repeated names, by group of documents; names that occur ``heavy`` times as part -1."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
@@ -208,6 +217,11 @@ def _repeated_names(names: DataFrame, groups: int) -> DataFrame:
             many = (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)) | np.logical_or.reduceat(order >= n, at)
             hit = np.repeat(many, np.diff(np.append(at, len(s)))) & (order < n)
             rows = _pack(group_of(d[hit], groups), d[hit], s[hit], KNOWN)
+        times, often = _unpack(table.filter(pa.array(kind == TIMES)))
+        name, of = np.unique(np.concatenate([h, often]), return_inverse=True)
+        many = name[np.bincount(of, np.concatenate([np.ones(n), times]), len(name)) >= heavy]
+        if len(many):
+            rows.append((0, KNOWN, -1, b"", b"", _six(many)))
         known = table.filter(pa.array(kind == KNOWN)).select(["part", "docs", "counts", "hashes"])
         return pa.concat_tables([known, pa.Table.from_batches([_batch(rows, NAMES).select(["part", "docs", "counts", "hashes"])])])
 
@@ -362,8 +376,19 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return ids, raw, base
 
 
-def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Segments that ask the bucket ``to`` for earlier copies, and intervals known to go, which pass through it."""
+def _digests(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Two 64-bit halves of the BLAKE2b digest of each slice of ``length`` bytes."""
+    raw = data.tobytes()
+    return np.frombuffer(b"".join(blake2b(raw[a : a + length], digest_size=16).digest() for a in start.tolist()), np.uint64).reshape(-1, 2)
+
+
+def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int, heavy: np.ndarray) -> DataFrame:
+    """Segments that ask the bucket ``to`` for earlier copies, and intervals known to go, which pass through it.
+
+    Segments of a ``heavy`` name, the different edges of a passage that very many documents share, would
+    meet in one bucket. They ask window by window, each by its digest, in the bucket of that: equal
+    windows still meet, and no bucket has more than its part. Such a row says 0 windows.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         flagged, names = _unpack(right)
@@ -396,7 +421,26 @@ def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int) -> D
             np.minimum.at(least, cls, doc)
             late = doc > least[cls]
             rows += _gone(np.full(int(late.sum()), part), doc[late], place[late], place[late] + size[late], buckets)
-            ask = np.flatnonzero(~late)
+            rare = ~np.isin(name >> MIX48, heavy)
+            wide = np.flatnonzero(~late & ~rare)
+            if len(wide):
+                at = gather(np.arange(len(data)), start[wide], wins[wide])
+                owner = np.repeat(wide, wins[wide])
+                where, whose = place[owner] + at - start[owner], doc[owner]
+                digest = _digests(data, at, length)
+                order = np.lexsort((whose, digest[:, 1], digest[:, 0]))
+                where, whose, digest = where[order], whose[order], digest[order]
+                new = np.concatenate([[True], (digest[1:] != digest[:-1]).any(1)])
+                least_here = whose[np.flatnonzero(new)][np.cumsum(new) - 1]
+                again = whose > least_here
+                rows += _gone(np.full(int(again.sum()), part), whose[again], where[again], where[again] + length, buckets)
+                where, whose, digest = where[~again], whose[~again], digest[~again]
+                bucket = (mix(digest[:, 0]) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for a, b in _ranges(bucket[order]):
+                    k = order[a:b]
+                    rows.append((int(bucket[k[0]]), part, _six(digest[k, 0] >> MIX48), _z(whose[k]), _z(where[k]), _z(np.zeros(len(k), np.int64)), _z(digest[k].view(np.uint8).ravel())))
+            ask = np.flatnonzero(~late & rare)
             bucket = (mix(name[ask]) % np.uint64(buckets)).astype(np.int64)
             ask = ask[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
@@ -422,20 +466,22 @@ def _settled(asked: DataFrame, length: int) -> DataFrame:
         names = table.column("names").to_pylist()
         name = _from_six(b"".join(names))
         part = np.repeat(table.column("part").to_numpy(), [len(b) // 6 for b in names])
-        size = wins + length - 1
+        windows_only = wins == 0  # a window by its digest, of 16 bytes
+        wins = np.maximum(wins, 1)
+        size = np.where(windows_only, 16, wins + length - 1)
         start = np.cumsum(size) - size
         cls = content_classes(data, start, size)
         n = int(cls.max(initial=-1)) + 1
         least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(least, cls, doc)
         late = doc > least[cls]
-        out = [(part[late], doc[late], place[late], place[late] + size[late])]
+        out = [(part[late], doc[late], place[late], place[late] + wins[late] + length - 1)]
         # Of each content, one first copy stands for it; names with one content have nothing to compare.
         first = np.flatnonzero(~late)
         rep = np.full(n, -1, np.int64)
         rep[cls[first[::-1]]] = first[::-1]
         _, of_name, per_name = np.unique(name[rep], return_inverse=True, return_counts=True)
-        many = rep[per_name[of_name] > 1] if n else rep
+        many = rep[(per_name[of_name] > 1) & ~windows_only[rep]] if n else rep
         if len(many):
             text = gather(data, start[many], size[many])
             at = np.cumsum(size[many]) - size[many]
@@ -499,10 +545,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     part: Column = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(groups).cast("long"))
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups).cast("long"))).otherwise(part)
     placed = docs.withColumn("part", part.cast("int"))
-    flags = Table(_repeated_names(_names(docs, length, buckets, groups), groups), "names")
+    # Of all names, HEAVY_SHARE bounds how many are heavy: one in 20,000 documents, some hundred names a document.
+    heavy = max(HEAVY, int(docs.count() * HEAVY_SHARE))
+    flags = Table(_repeated_names(_names(docs, length, buckets, groups), groups, heavy), "names").df
+    found = [_from_six(bytes(r["hashes"])) for r in flags.filter("part = -1").select("hashes").toLocalIterator()]
+    many = np.concatenate([np.zeros(0, np.uint64), *found])
     collect_garbage(spark)
     # The texts are dealt to their groups once: both cogroups read the same exchange.
-    gone = _settled(_segments(placed, flags.df, length, buckets), length)
+    gone = _settled(_segments(placed, flags.filter("part >= 0"), length, buckets, many), length)
     return _cut(placed, gone)
 
 

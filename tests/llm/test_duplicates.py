@@ -142,7 +142,9 @@ def removed(texts, length):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("heavy", [4096, 3, 12])
+def test_repeats_equal_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffixdedup, "HEAVY", heavy)
     rng = random.Random(6)
     line = lambda n: "".join(rng.choices("abé \n", k=n))
     shared = [line(n) for n in (49, 50, 51, 80, 200, 400)]
