@@ -10,7 +10,7 @@ second codeword is nearly as close.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a row gives a row, so
 null and repeated ids are kept; with nothing to learn from, every text is ``und``; a long text is scored
-whole and takes about forty times its bytes; further columns of the input are kept, one named like an
+whole, piece by piece; further columns of the input are kept, one named like an
 output is replaced.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkflow.llm.bpe import _map, _with_columns, chunks, parts
+from chunkflow.llm.bpe import CHUNK, _map, _with_columns, chunks, parts
 from chunkflow.llm.scratch import sampled
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -62,8 +62,12 @@ def codewords(n: int, seed: int = 1) -> np.ndarray:
     return out
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of the bigram and of the trigram at each byte, and where texts start.
+def _lowered(texts: list[str]) -> list[bytes]:
+    return [t.lower().encode() for t in texts]
+
+
+def grams(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the bigram and of the trigram at each byte of lower-cased texts, and where texts start.
 
     Everything but letters counts as one blank, and so do the bytes between two texts.
     """
@@ -71,7 +75,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table[97:123] = np.arange(97, 123)
     table[65:91] = np.arange(97, 123)
     table[128:] = np.arange(128, 256)
-    raw = [t.lower().encode() for t in texts]
     data = table[np.frombuffer(b"  ".join([*raw, b""]) + b" ", np.uint8)]
     starts = np.cumsum([0, *(len(r) + 2 for r in raw)])[:-1]
     two = data[:-2] << np.uint32(8) | data[1:-1]
@@ -80,13 +83,25 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def margins(model_weights: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Mean log-odds per n-gram position, texts x bits."""
-    two, three, starts = grams(texts)
-    n = np.diff(np.append(starts, len(two) + 1)).astype(float)
-    out = np.empty((len(texts), len(model_weights)))
-    for b, w in enumerate(model_weights):
-        out[:, b] = np.add.reduceat(w[two] + w[three], starts, dtype=np.float64) / n
-    return out
+    """Mean log-odds per n-gram position, texts x bits. A long text is summed up piece by piece."""
+    raw = _lowered(texts)
+    pieces = [(i, a) for i, r in enumerate(raw) for a in range(0, max(1, len(r)), CHUNK)]
+    whole = [len(raw[i]) <= CHUNK for i, _ in pieces]
+    part = [raw[i] if w else raw[i][a : a + CHUNK + 2] for (i, a), w in zip(pieces, whole, strict=True)]
+    out, n = np.zeros((len(texts), len(model_weights))), np.zeros(len(texts))
+    for lo, hi in chunks(part):
+        two, three, starts = grams(part[lo:hi])
+        ends = np.append(starts[1:], len(two) + 1)
+        # Two more bytes end the last n-grams of a piece that is not the last; their own are the next piece's.
+        last = np.array([a + CHUNK >= len(raw[i]) for i, a in pieces[lo:hi]])
+        ends = np.where(last, ends, starts + CHUNK)
+        own = np.array([i for i, _ in pieces[lo:hi]])
+        np.add.at(n, own, ends - starts)
+        edges = np.ravel(np.column_stack([starts, np.minimum(ends, len(two))]))
+        for b, w in enumerate(model_weights):
+            sums = np.add.reduceat(np.append(w[two] + w[three], np.float32(0)), edges, dtype=np.float64)[0::2]
+            np.add.at(out[:, b], own, sums)
+    return out / np.maximum(n, 1)[:, None]
 
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
@@ -99,7 +114,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     sums = {sign: np.zeros((codes.shape[1], 2 * BUCKETS), np.float32) for sign in (1, -1)}  # of the languages on either side of a bit
     for k, y in enumerate(languages):
         c = np.full(2 * BUCKETS, 0.05)
-        own = [t for t, z in rows if z == y]
+        own = _lowered([t for t, z in rows if z == y])
         for a, b in chunks(own):
             two, three, _ = grams(own[a:b])
             c += np.bincount(two, minlength=2 * BUCKETS) + np.bincount(three, minlength=2 * BUCKETS)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from chunkflow.llm.bpe import parts
 from chunkflow.llm.components import components
 from chunkflow.llm.scratch import Table, bound_batches
-from chunkflow.llm.words import BASE, Words, distinct, mix
+from chunkflow.llm.words import BASE, Words, distinct, forget, mix
 
 #: Coordinates; bands and their rows, which use all: at a similarity of 0.8 five pairs in 100 million share no band.
 T, BANDS, ROWS = 128, 32, 4
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     [part.column("doc_id"), pa.array(s["n"]), pa.array(s["s1"]), pa.array(s["s2"]), pa.array([r.tobytes() for r in small], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(s["bands"].ravel()))],
                     names=["doc_id", "n_shingles", "s1", "s2", "sketch", "bands"],
                 )
+        forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
@@ -111,6 +112,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 at = np.searchsorted(text, np.arange(len(texts) + 1))
                 sets = [value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "set"])
+        forget()
 
     return docs.mapInArrow(run, "id long, set binary")
 

@@ -21,8 +21,8 @@ for heavy names 128 bits of a BLAKE2b digest, decide.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a row without
 ``doc_id`` neither loses bytes nor takes them from others; rows with one id do not count as earlier
-than each other; an empty table gives an empty result; a long text is worked on whole and takes about
-60 times its bytes in step 1; further columns are not read.
+than each other; an empty table gives an empty result; a long text is worked on in
+pieces and takes a few times its bytes; further columns are not read.
 """
 
 from __future__ import annotations
@@ -75,15 +75,14 @@ def group_of(ids: np.ndarray, n: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64) % n
 
 
-def named_runs(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one name: text, place of the first window, number of windows, name; and all bytes."""
+def _piece_runs(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     firsts = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.any():
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), data
+        return none, none, none, none.view(np.uint64)
     power, inverse = _upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -100,7 +99,26 @@ def named_runs(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     new = np.ones(len(text), bool)
     new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
     start = np.flatnonzero(new)
-    return text[start], at[start] - firsts[text[start]], np.diff(np.append(start, len(text))), name[start], data
+    return text[start], at[start] - firsts[text[start]], np.diff(np.append(start, len(text))), name[start]
+
+
+def named_runs(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one name: text, place of the first window, number of windows, name; and all bytes.
+
+    A text of more than ``CHUNK`` bytes is named piece by piece, its windows each in one of them.
+    """
+    pieces = [(i, s) for i, r in enumerate(raw) for s in range(0, max(1, len(r) - length + 1), CHUNK)]
+    parts = [raw[i] if len(raw[i]) <= CHUNK else raw[i][s : s + CHUNK + length - 1] for i, s in pieces]
+    found = []
+    for a, b in _chunks(parts):
+        text, at, n, name = _piece_runs(parts[a:b], length)
+        found.append((np.array([i for i, _ in pieces[a:b]])[text], np.array([s for _, s in pieces[a:b]])[text] + at, n, name))
+    text, at, n, name = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else ((),) * 4))
+    new = np.ones(len(text), bool)  # a run that a cut has parted is one again
+    new[1:] = (text[1:] != text[:-1]) | (name[1:] != name[:-1]) | (at[1:] != at[:-1] + n[:-1])
+    start = np.flatnonzero(new)
+    total = np.add.reduceat(n, start) if len(start) else n
+    return text[start], at[start], total, name[start].astype(np.uint64), np.frombuffer(b"".join(raw), np.uint8)
 
 
 def _chunks(raw: list[bytes]) -> Iterator[tuple[int, int]]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkflow.llm.bpe import _map, _with_columns, chunks, parts
-from chunkflow.llm.scratch import sampled
+from chunkflow.llm.scratch import collect_garbage, sampled
 from chunkflow.llm.words import PUNCTUATION, Words, distinct
 
 BITS, FACTORS, STEMS = 20, 8, (4, 5, 6)
@@ -42,17 +42,16 @@ class Model:
 def terms(texts: list[str | None], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, bucket) pairs; with ``used``, a flag by bucket, of those buckets only."""
     w = Words(texts, PUNCTUATION, STEMS)
-    text, hashes = [w.text], [w.hashes]
-    for j in range(len(STEMS)):
-        long = np.flatnonzero(w.stems[:, j])
-        text.append(w.text[long])
-        hashes.append(w.stems[long, j])
-    bucket = (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
-    text = np.concatenate(text)
-    if used is not None:
-        known = used[bucket]
-        text, bucket = text[known], bucket[known]
-    return distinct(text, bucket)
+    text, bucket = [], []
+    for j in range(-1, len(STEMS)):
+        some = np.arange(len(w.hashes)) if j < 0 else np.flatnonzero(w.stems[:, j])
+        b = ((w.hashes if j < 0 else w.stems[some, j]) >> np.uint64(64 - BITS)).astype(np.int64)
+        if used is not None:
+            known = used[b]
+            some, b = some[known], b[known]
+        text.append(w.text[some])
+        bucket.append(b)
+    return distinct(np.concatenate(text), np.concatenate(bucket))
 
 
 def _sums(model: Model, n: int, text: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -120,17 +119,23 @@ def fit(texts: list[str], toxic: np.ndarray, prior: float, epochs: int = 40, bat
     model = Model(float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (15.0 if prior >= 1 else -15.0), np.zeros(1 << BITS, np.float32), np.full(1 << BITS, -1, np.int32), np.zeros((0, FACTORS), np.float32))
     if not 0 < toxic.mean() < 1 if len(toxic) else True:
         return model
-    parts = [(a, *terms(texts[a:b])) for a, b in chunks(texts)]
-    text = np.concatenate([a + t for a, t, _ in parts])
-    bucket = np.concatenate([b for _, _, b in parts])
-    both, bad = np.bincount(bucket, minlength=1 << BITS), np.bincount(bucket, toxic[text], 1 << BITS)
+    found = []
+    for a, b in chunks(texts):
+        t, k = terms(texts[a:b])
+        found.append((np.int32(a) + t.astype(np.int32), k.astype(np.int32)))
+    text, bucket = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found
+    ids, term = np.unique(bucket, return_inverse=True)
+    term = term.astype(np.int32)
+    both, bad = np.bincount(term), np.bincount(term, toxic[text], len(ids))
     n1, n = toxic.sum(), len(toxic)
     share = np.clip(both / n, 1 / n, 1 - 1 / n)
     z = (bad / n1 - (both - bad) / (n - n1)) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / (n - n1)))
-    used = np.flatnonzero((both >= least) & ((np.abs(z) >= least_z) | interacting(text, bucket, toxic, 1 << BITS, least_pair_z)))
+    used = ids[(both >= least) & ((np.abs(z) >= least_z) | interacting(text, term, toxic, len(ids), least_pair_z))]
     model.row[used] = np.arange(len(used))
     keep = model.row[bucket] >= 0
     text, row = text[keep], model.row[bucket[keep]]
+    del bucket, term, keep
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(used)), rng.normal(0, 0.02, (len(used), FACTORS)), float(np.log(toxic.mean() / (1 - toxic.mean())))
@@ -199,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, per_class: int = 4000
     picked = known.filter(sampled(part, "doc_id"))  # about 2 * per_class ids
     rows = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").select("text", "_toxic").distinct().collect()
     rows.sort(key=lambda r: (r["text"], r["_toxic"]))
-    return fit([r["text"] for r in rows], np.array([r["_toxic"] for r in rows], float), n.get(1, 0) / total)
+    model = fit([r["text"] for r in rows], np.array([r["_toxic"] for r in rows], float), n.get(1, 0) / total)
+    del rows
+    collect_garbage(docs.sparkSession)
+    return model
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,11 @@ def _digests() -> _Digests:
     return out
 
 
+def forget() -> None:
+    """Empties the cache of digests: a worker may go on with other work."""
+    _digests().reset()
+
+
 def _mixed(raw: bytes, stems: tuple[int, ...]) -> np.ndarray:
     """Hashes of the words of ``raw``, whose separators are blanks: eight bytes at a time, each step mixed."""
     data = np.frombuffer(raw + bytes(8), np.uint8)

@@ -145,6 +145,8 @@ def removed(texts, length):
 @pytest.mark.parametrize("heavy", [4096, 3, 12])
 def test_repeats_equal_brute_force(spark, monkeypatch, heavy):
     monkeypatch.setattr(suffixdedup, "HEAVY", heavy)
+    if heavy == 12:  # long texts are named in pieces
+        monkeypatch.setattr(suffixdedup, "CHUNK", 700)
     rng = random.Random(6)
     line = lambda n: "".join(rng.choices("abé \n", k=n))
     shared = [line(n) for n in (49, 50, 51, 80, 200, 400)]
@@ -170,6 +172,15 @@ def test_rows_of_one_id_and_no_rows(spark):
         suffixdedup.remove_repeats(docs, 20)
 
 
+def test_runs_of_a_long_text_do_not_hang_on_its_pieces(monkeypatch):
+    rng = random.Random(2)
+    raw = ["".join(rng.choices("ab", k=n)).encode() for n in (3000, 0, 49, 50, 700, 701, 1400)] + [b"a" * 2500]
+    whole = suffixdedup.named_runs(raw, 50)
+    for size in (60, 333, 700):
+        monkeypatch.setattr(suffixdedup, "CHUNK", size)
+        assert all(np.array_equal(x, y) for x, y in zip(suffixdedup.named_runs(raw, 50), whole))
+
+
 def test_previous_factors_equal_their_definition():
     rng = np.random.default_rng(4)
     for length in (8, 21, 50):

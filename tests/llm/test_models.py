@@ -235,6 +235,15 @@ def test_language_scores_equal_a_plain_decoder(spark):
         assert got[r.doc_id].score == pytest.approx(share.max() / share.sum(), abs=1e-3)
 
 
+def test_pieces_of_a_long_text_sum_up(monkeypatch):
+    model = langid.fit([("the cat and the hat " * 5, "en"), ("der hund und das haus " * 5, "de")] * 3)
+    texts = ["the der hat " * 400 + "é", "", "x", "das haus " * 333]
+    whole = langid.margins(model.weights, texts)
+    for size in (7, 100, 1000):
+        monkeypatch.setattr(langid, "CHUNK", size)
+        assert np.allclose(langid.margins(model.weights, texts), whole, atol=1e-6)
+
+
 def test_many_languages_have_short_codewords_far_apart():
     c = langid.codewords(200)
     assert c.shape == (200, langid.BITS) and min((c[i] != c[j]).sum() for i in range(200) for j in range(i)) >= langid.BITS // 4
