@@ -46,6 +46,8 @@ CHUNK, HELD, PLACE = 1 << 19, 500_000, 40
 #: Occurrences from which a name is heavy, and the share of all documents that it must reach.
 HEAVY, HEAVY_SHARE = 4096, 1 / 20_000
 MIX48 = np.uint64(16)
+#: Partitions that groups and buckets are dealt to, for each of them.
+SPREAD = 4
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -562,15 +564,18 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     part: Column = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(groups).cast("long"))
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups).cast("long"))).otherwise(part)
-    placed = docs.withColumn("part", part.cast("int"))
+    # More partitions than groups: hardly any task has several groups, and empty ones cost next to nothing.
+    placed = docs.withColumn("part", part.cast("int")).repartition(SPREAD * groups, "part")
     # Of all names, HEAVY_SHARE bounds how many are heavy: one in 20,000 documents, some hundred names a document.
     heavy = max(HEAVY, int(docs.count() * HEAVY_SHARE))
-    flags = Table(_repeated_names(_names(docs, length, buckets, groups), groups, heavy), "names").df
+    names = _names(docs, length, buckets, groups).repartition(SPREAD * buckets, "to")
+    flags = Table(_repeated_names(names, groups, heavy), "names").df
     found = [_from_six(bytes(r["hashes"])) for r in flags.filter("part = -1").select("hashes").toLocalIterator()]
     many = np.concatenate([np.zeros(0, np.uint64), *found])
     collect_garbage(spark)
     # The texts are dealt to their groups once: both cogroups read the same exchange.
-    gone = _settled(_segments(placed, flags.filter("part >= 0"), length, buckets, many), length)
+    asked = _segments(placed, flags.filter("part >= 0"), length, buckets, many).repartition(SPREAD * buckets, "to")
+    gone = _settled(asked, length)
     return _cut(placed, gone)
 
 
