@@ -46,7 +46,7 @@ LEAST_ASKED = 20
 SIDE = 2048
 #: Centroids beyond its shards' that a query visits anyway; vectors of a shard that is dealt again, and of
 #: the sample that its centroids are fit to; visitors of a task.
-PROBES, MOST, SHARD_SAMPLE, VISITORS = 2, 4000, 8192, 4096
+PROBES, MOST, SHARD_SAMPLE, VISITORS = 4, 4000, 8192, 4096
 FOUND = "space string, id long, n long, to long"
 #: Of a query also the shards to visit next, and the node by which it enters each.
 SEARCHED = FOUND + ", next array<long>, enter array<long>"
@@ -388,12 +388,16 @@ class FlatGraph:
         if not total:
             return {}
         share = min(1.0, MOST_SAMPLE / total)
-        picked = nodes.join(F.broadcast(self.spark.createDataFrame([(s,) for s in sizes], "space string")), "space").filter(sampled(share, "id", "v")).select("space", "v").collect()
-        by: dict[str, list] = {}
-        for r in picked:
-            by.setdefault(r["space"], []).append(r["v"])
-        most = max(1, MOST_CENTROIDS // len(sizes))
-        return {s: fit_centroids(np.array(v, float), min(most, -(-sizes[s] // SHARD))) for s, v in by.items()}
+        wanted = F.broadcast(self.spark.createDataFrame([(s,) for s in sizes], "space string"))
+        picked = nodes.join(wanted, "space").filter(sampled(share, "id", "v")).select("space", "v").toArrow()  # MOST_SAMPLE rows or so
+        rows = picked.column("space").combine_chunks().dictionary_encode()
+        code, (values, per) = rows.indices.to_numpy(zero_copy_only=False), _lists(picked, "v")
+        first, most, out = np.cumsum(per) - per, max(1, MOST_CENTROIDS // len(sizes)), {}
+        for k, s in enumerate(rows.dictionary.to_pylist()):
+            own = np.flatnonzero(code == k)
+            x = gather(values, first[own], per[own]).reshape(len(own), -1)
+            out[s] = fit_centroids(x[np.lexsort(x.T[::-1])], min(most, -(-sizes[s] // SHARD)))  # in an order of its own
+        return out
 
     @staticmethod
     def _deal(nodes: DataFrame, centroids: dict[str, np.ndarray], overlap: int) -> DataFrame:
