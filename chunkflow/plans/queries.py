@@ -151,7 +151,8 @@ def packet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By stream number modulo 6: how the second packet is spoilt, if there are two. 5: a data packet that calls itself a
-#: reference. 0: the first packet announces a byte more than it holds, which is a warning.
+#: reference, with a byte more if it holds eight, which would pass for a hash. 0: the first packet announces a byte more
+#: than it holds, which is a warning.
 FAULTS = {1: "bad_magic", 2: "unknown_type", 3: "truncated_payload", 4: "truncated_header", 5: "bad_dedup_length"}
 FAULTS_SQL = """, m AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, first_value(seq) OVER (PARTITION BY id, sha ORDER BY a) AS source, max(CASE WHEN seq = 1 THEN kind END) OVER (PARTITION BY id) AS second FROM sent),
 f AS (SELECT *, CASE WHEN n < 2 THEN 'ok' ELSE CASE id % 6 WHEN 1 THEN 'bad_magic' WHEN 2 THEN 'unknown_type' WHEN 3 THEN 'truncated_payload' WHEN 4 THEN 'truncated_header' WHEN 5 THEN CASE WHEN second = 1 THEN 'bad_dedup_length' ELSE 'ok' END ELSE 'ok' END END AS fault FROM m),
@@ -170,8 +171,10 @@ def spoilt_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.left(h, cut.cast("int"))
     spoilt = F.when(k == 1, F.concat(before, F.lit("0000"), rest(cut + 4)))
     spoilt = spoilt.when(k == 2, F.concat(before, part(cut, 4), F.lit("09"), rest(cut + 6)))
-    spoilt = spoilt.when(k == 3, F.left(h, (cut + 2 * header.SIZE + 2).cast("int"))).when(k == 4, F.left(h, (cut + 20).cast("int")))
-    spoilt = spoilt.when((k == 5) & (F.col("two.type") == header.DATA), F.concat(before, part(cut, 4), F.lit("02"), rest(cut + 6)))
+    spoilt = spoilt.when(k == 3, F.left(h, (cut + 2 * header.SIZE).cast("int"))).when(k == 4, F.left(h, (cut + 20).cast("int")))
+    longer = F.concat(part(cut + 6, 16), F.lower(header.little(F.lit(9), 4)), part(cut + 30, 24), F.lit("00"), rest(cut + 54))
+    after = F.when(F.col("two.length") == 8, longer).otherwise(rest(cut + 6))
+    spoilt = spoilt.when((k == 5) & (F.col("two.type") == header.DATA), F.concat(before, part(cut, 4), F.lit("02"), after))
     more = F.concat(F.left(h, F.lit(30)), F.lower(header.little(F.col("one.original_length") + 1, 4)), rest(F.lit(38)))
     return streams.select("stream_id", F.unhex(spoilt.when(k == 0, more).otherwise(h)).alias("stream"))
 

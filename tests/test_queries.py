@@ -31,6 +31,19 @@ def test_query_equals_sql(spark, duck, name):
     assert got == sorted(tuple(repr(x[i]) for i in at) for x in r.fetchall())
 
 
+@pytest.mark.parametrize("name", ["packet_errors", "restore_faults"])
+def test_faults_of_packets_of_any_size(spark, tmp_path, name):
+    """Second packets of 1 to 12 bytes, for each fault: a byte is a truncated payload, and eight are no hash."""
+    rows = [(6 * n + k, "a" * (1024 + n)) for n in range(1, 13) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    r = c.sql(ORACLE_SQL[name])
+    at = [r.columns.index(c) for c in df.columns]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(x[i] for i in at)) for x in r.fetchall())
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() == 1
