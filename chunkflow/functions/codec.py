@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkflow.scratch import bound_batches
+
 #: The largest input of an LZ4 block.
 LZ4_MOST = 0x7E000000
 #: Effort of the encoder; None is its own default. All blocks decode alike.
@@ -32,6 +34,7 @@ def _append(df: DataFrame, name: str, kind: T.DataType, fn) -> DataFrame:  # noq
             kept = {n: batch.column(n) for n in batch.schema.names if n != name}
             yield pa.RecordBatch.from_pydict(kept | {name: fn(batch)})
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
