@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from chunkflow.config import SMALL, ChunkConfig
 from chunkflow.functions.gear import cut_points, rolling
+from chunkflow.scratch import bound_batches
 
 #: Bytes of values whose chunks leave a task together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 
 def chunk_bytes(df: DataFrame, key: str, content: str, cfg: ChunkConfig = SMALL, data: bool = True, hashed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -65,6 +66,7 @@ def chunk_bytes(df: DataFrame, key: str, content: str, cfg: ChunkConfig = SMALL,
                     out, held = [[] for _ in range(7)], 0
             yield emit(batch, *out)
 
+    bound_batches(df.sparkSession)
     return df.select(key, F.col(content).cast("binary").alias("_content"), *keep).mapInArrow(run, schema)
 
 
@@ -91,4 +93,5 @@ def candidates(df: DataFrame, key: str, content: str, cfg: ChunkConfig = SMALL)
                 relaxed.append(int((h & np.uint64((1 << (cfg.bits - 2)) - 1) == 0).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(strict), pa.array(relaxed)], names=schema.names)
 
+    bound_batches(df.sparkSession)
     return df.select(key, F.col(content).cast("binary").alias("_content")).mapInArrow(run, schema)

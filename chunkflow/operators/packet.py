@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 
 from chunkflow.functions import codec, header
 from chunkflow.functions.scalar import mib_per_second, percent
+from chunkflow.scratch import bound_batches
 
 #: Bytes of streams whose packets leave a task together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 PACKET = "stream_id long, seq long, type short, offset long, length long, original_length long, payload binary, status string"
 #: Errors that end a stream, and those of single packets.
 FRAMING = ("truncated_header", "bad_magic", "unknown_type", "truncated_payload")
@@ -118,6 +119,7 @@ def decode_packets(streams: DataFrame) -> DataFrame:
                     rows, held = [], 0
             yield emit(rows)
 
+    bound_batches(streams.sparkSession)
     return streams.select(F.col("stream_id").cast("long"), "stream").mapInArrow(run, PACKET)
 
 

@@ -109,6 +109,27 @@ def test_levels_compress_differently_and_decode_alike(spark):
     assert sizes["high"] <= sizes["default"] < sizes["fast"]
 
 
+def test_codecs_hold_a_few_long_values_at_a_time(spark):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.range(0, 40, 1, 1).select(F.expr("cast(repeat('x', 1048576) as binary)").alias("raw"))
+    rows = codec._append(df, "rows", T.LongType(), lambda b: pa.array([b.num_rows] * b.num_rows, pa.int64()))
+    assert max(r.rows for r in rows.select("rows").collect()) <= 9
+
+
+@pytest.mark.parametrize("step", ["chunks", "candidates", "decode"])
+def test_steps_on_whole_values_bound_their_batches(spark, step):
+    from chunkflow.operators import chunk
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    df = spark.createDataFrame([(1, bytearray(b"abc"))], "stream_id long, stream binary")
+    {"chunks": chunk.chunk_bytes, "candidates": chunk.candidates, "decode": lambda d, *_: packet.decode_packets(d)}[step](df, "stream_id", "stream")
+    assert int(spark.conf.get(name).rstrip("b")) <= 8 << 20
+
+
 def test_plans_cut_each_value_once(spark):
     from chunkflow.plans.queries import QUERIES
 
