@@ -151,3 +151,30 @@ def test_streamed_references_wait_for_their_chunk(spark, tmp_path):
         flows.resolve_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = {(r.stream_id, r.seq, r.offset, bytes(r.data) if r.data else None, r.status) for r in spark.read.schema(flows.RESOLVED).parquet(out).collect()}
     assert got == {(1, 1, 3, b"abc", "ok"), (1, 4, 12, b"abc", "ok"), (1, 2, 6, b"abc", "ok"), (1, 9, None, None, "bad_magic")}
+
+
+def test_streamed_references_go_on_once_and_need_an_earlier_chunk(spark, tmp_path):
+    from chunkflow.streaming import flows
+
+    key = __import__("hashlib").sha256(b"abc").digest()[:8]
+    ok = lambda sid, seq, kind, off, data: (sid, seq, kind, off, len(data), 3, bytearray(data), "ok")
+    rows = [ok(1, 0, 2, 0, key), ok(1, 1, 1, 3, b"abc"), ok(1, 2, 1, 6, b"abc"), ok(1, 5, 2, 9, key), ok(1, 5, 2, 9, key), ok(None, 0, 1, 0, b"abc"), ok(None, 1, 2, 3, key)]
+    spark.createDataFrame(rows, packet.PACKET).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(packet.PACKET).parquet(f"{tmp_path}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with flows.state_on_disk(spark):
+        flows.resolve_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert spark.conf.get(name) == before
+    got = [(r.stream_id, r.seq, r.offset, bytes(r.data)) for r in spark.read.schema(flows.RESOLVED).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got, key=repr) == sorted([(1, 1, 3, b"abc"), (1, 2, 6, b"abc"), (1, 5, 9, b"abc"), (None, 0, 0, b"abc"), (None, 1, 3, b"abc")], key=repr)
+
+
+def test_files_of_a_packet_stream_follow_the_content(spark, tmp_path, monkeypatch):
+    from chunkflow.plans import queries
+
+    monkeypatch.setattr(queries, "PER_FILE", 16 << 10)
+    spark.createDataFrame([(i, f"{i} " * 256) for i in range(400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.packet_files(spark, str(tmp_path), f"{tmp_path}/stream").isStreaming
+    per = [r["count"] for r in spark.read.parquet(f"{tmp_path}/stream/in").groupBy(F.input_file_name()).count().collect()]
+    assert len(per) > 10 and max(per) < 3 * sum(per) / len(per)  # all first packets of 400 streams are no heap
