@@ -446,27 +446,38 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(once.schema).parquet(f"{folder}/rows").groupBy("event_type").agg(F.min("user").alias("least"), F.count("*").alias("users"))
 
 
+#: Bytes of documents whose packets a file of a packet stream holds.
+PER_FILE = 32 << 20
+
+
+def packet_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A stream of all documents' packets from files in no order, as many as there is content for, read in two batches."""
+    size = docs(spark, sf_dir).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(4, -(-size // PER_FILE))
+    decoded(spark, sf_dir, uniques_first=True).repartition(n, F.xxhash64("stream_id", "seq")).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(packet.PACKET).option("maxFilesPerTrigger", -(-n // 2)).parquet(f"{folder}/in")
+
+
 @query("stream_reassemble", WHOLE)
 def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded packets as a stream of files in no order, collected by micro-batches and restored."""
     from chunkflow.streaming import flows
 
     folder = new_path(spark, "stream")
-    decoded(spark, sf_dir, uniques_first=True).repartition(4, F.xxhash64("seq")).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(packet.PACKET).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream = packet_files(spark, sf_dir, folder)
     flows.collect_packets(stream, f"{folder}/store", f"{folder}/state").awaitTermination()
     return flows.restored(spark, f"{folder}/store", "none").select("stream_id", F.sha2("content", 256).alias("hash"))
 
 
 @query("stream_resolve", WHOLE)
 def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``stream_reassemble``, but references are resolved by the state of each stream as packets come."""
+    """As ``stream_reassemble``, but references are resolved by state as packets come."""
     from chunkflow.streaming import flows
 
     folder = new_path(spark, "stream")
-    decoded(spark, sf_dir, uniques_first=True).repartition(4, F.xxhash64("seq")).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(packet.PACKET).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    run = flows.resolve_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
+    stream = packet_files(spark, sf_dir, folder)
+    with flows.state_on_disk(spark):
+        run = flows.resolve_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
     rows = spark.read.schema(flows.RESOLVED).parquet(f"{folder}/out")
     return restore.reassemble(rows).select("stream_id", F.sha2("content", 256).alias("hash"))
