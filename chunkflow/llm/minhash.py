@@ -173,27 +173,63 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], near: np.ndarray) -
     return np.where(near, out, 0)
 
 
-def _apart(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members of a band that were in different components.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of open bands (band, slot, rep, c, main, n_main, n_other), once for each pair of blocks (i, j) that they are in.
 
-    ``members`` has band, slot, rep, c, main, n_main, n_other, sketch, bands, n_shingles and set. The
-    largest component of a band and the rest of it are cut in blocks of about ``SIDE`` each, and a task has
-    two blocks; two blocks of the largest component have nothing to compare and never meet. A pair that
-    shares an earlier band met there.
+    The largest component of a band and the rest of it are cut in blocks of about ``SIDE`` each, and a task has
+    two blocks; two blocks of the largest component have nothing to compare and never meet.
     """
     p, q = (F.ceil(F.col(n) / SIDE).cast("int") for n in ("n_main", "n_other"))
     in_main, h = F.col("c") == F.col("main"), F.xxhash64("rep", F.lit(1))
     own = F.when(in_main, F.pmod(h, p)).otherwise(p + F.pmod(h, q)).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(in_main, p).otherwise(0), p + q - 1)))
-    spread = spread.select("band", "slot", "rep", "c", "sketch", "bands", "n_shingles", "set", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("main", "n_main", "n_other", "other")
+
+
+def _near(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, right, ok, small, large) for rows ``x`` and ``right`` of two blocks: which pairs of different components may be links.
+
+    Their sketches agree, their sizes allow it, and they share no earlier band; those that do met there.
+    """
+    c, own, size = (table.column(k).to_numpy() for k in ("c", "own", "n_shingles"))
+    sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    slot, i, j = (table.column(k)[0].as_py() for k in ("slot", "i", "j"))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for s in range(0, len(left), 256):
+        x = left[s : s + 256]
+        near = np.zeros((len(x), len(right)), np.uint8)
+        for t in range(T):
+            near += sk[x, t][:, None] == sk[right, t][None, :]
+        small, large = np.minimum(size[x][:, None], size[right]), np.maximum(size[x][:, None], size[right])
+        ok = (near >= LEAST_AGREEMENT * T) & (c[x][:, None] != c[right][None, :]) & (100 * small >= percent * large)
+        for t in range(slot):
+            ok &= bands[x, t][:, None] != bands[right, t][None, :]
+        yield x, right, ok, small, large
+
+
+_PLACE = ("band", "slot", "rep", "c", "own", "i", "j", "n_shingles")
+
+
+def _with_partners(spread: DataFrame, percent: int) -> DataFrame:
+    """Those rows of blocks, by their ``_PLACE``, that may link with any other there; ``spread`` has sketch, bands and n_shingles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        some = np.zeros(table.num_rows, bool)
+        for x, right, ok, _, _ in _near(table, percent):
+            some[x] |= ok.any(1)
+            some[right] |= ok.any(0)
+        return table.select(_PLACE).filter(pa.array(some))
+
+    return spread.groupBy("band", "i", "j").applyInArrow(run, "band long, slot int, rep long, c long, own int, i int, j int, n_shingles long")
+
+
+def _apart(spread: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a band that were in different components; ``spread`` has sketch, bands and set too."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, c, own, size = (table.column(k).to_numpy() for k in ("rep", "c", "own", "n_shingles"))
-        sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, T)
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        rep = table.column("rep").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in table.column("set").to_pylist()]
-        slot, i, j = (table.column(k)[0].as_py() for k in ("slot", "i", "j"))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         parent = np.arange(len(rep))
 
         def root(x: int) -> int:
@@ -202,15 +238,7 @@ def _apart(members: DataFrame, percent: int) -> DataFrame:
             return x
 
         a, b = [], []
-        for s in range(0, len(left), 256):
-            x = left[s : s + 256]
-            near = np.zeros((len(x), len(right)), np.uint8)
-            for t in range(T):
-                near += sk[x, t][:, None] == sk[right, t][None, :]
-            small, large = np.minimum(size[x][:, None], size[right]), np.maximum(size[x][:, None], size[right])
-            ok = (near >= LEAST_AGREEMENT * T) & (c[x][:, None] != c[right][None, :]) & (100 * small >= percent * large)
-            for t in range(slot):
-                ok &= bands[x, t][:, None] != bands[right, t][None, :]
+        for x, right, ok, small, large in _near(table, percent):
             common = _common([sets[k] for k in x], [sets[k] for k in right], ok)
             p, q = np.nonzero(ok & (100 * common >= percent * (small + large - common)))
             for k, m in zip(x[p].tolist(), right[q].tolist(), strict=True):
@@ -286,10 +314,13 @@ class NearDuplicates:
         open_ = per.groupBy("band").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all")).filter("m.n < all")
         open_ = open_.select("band", F.col("m.c").alias("main"), F.col("m.n").alias("n_main"), (F.col("all") - F.col("m.n")).alias("n_other"))
         apart = Table(apart.drop("n").join(per_band(open_, "open"), "band"), "apart").df
-        self._sets(apart.select(F.col("rep").alias("id")).distinct())
+        # Sets are large: only members whose sketch is near another's in their block go on with them.
+        sketch = reps.select("rep", "sketch", "bands", "n_shingles")
+        some = Table(_with_partners(_blocks(apart.join(sketch, "rep")), self.percent), "partners").df
+        self._sets(some.select(F.col("rep").alias("id")).distinct())
         if self.sets:
             # An id with several texts has a class and a set for each; the pairs of all of them are its own.
-            full = apart.join(reps.select("rep", "sketch", "bands", "n_shingles"), "rep").join(self._all_sets().select(F.col("id").alias("rep"), "set"), "rep").filter("octet_length(set) = 8 * n_shingles")
+            full = some.join(sketch, ["rep", "n_shingles"]).join(self._all_sets().select(F.col("id").alias("rep"), "set"), "rep").filter("octet_length(set) = 8 * n_shingles")
             more = Table(_apart(full, self.percent), "more").df
             if not more.isEmpty():
                 comp = components(links.union(more))
