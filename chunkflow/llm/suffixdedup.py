@@ -22,12 +22,13 @@ for heavy names 128 bits of a BLAKE2b digest, decide.
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; a row without
 ``doc_id`` neither loses bytes nor takes them from others; rows with one id do not count as earlier
 than each other; an empty table gives an empty result; a long text is worked on in
-pieces and takes a few times its bytes; further columns are not read.
+pieces and takes a few times its bytes, and so does a group or bucket, of 8 MB of text or so,
+by its hashing and sorting half a MB at a time (a name is sorted whole); further columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,18 +37,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkflow.llm.bpe import gather, parts
-from chunkflow.llm.scratch import Table, bound_batches, collect_garbage, plan_bytes
+from chunkflow.llm.scratch import Table, bound_batches, collect_garbage, trim
 from chunkflow.llm.words import BASE, mix
 
 SEED = 20
-#: Bytes hashed at a time (a longer text by itself), names held before a task sends them on, and the
-#: bits of a text's place under its number among texts of one id.
+#: Bytes hashed or sorted at a time (a longer text or name by itself), names held before a task sends them
+#: on, and the bits of a text's place under its number among texts of one id.
 CHUNK, HELD, PLACE = 1 << 19, 500_000, 40
+#: Windows of heavy names told apart at a time.
+WIDE = 1 << 18
 #: Occurrences from which a name is heavy, and the share of all documents that it must reach.
 HEAVY, HEAVY_SHARE = 4096, 1 / 20_000
 MIX48 = np.uint64(16)
-#: Partitions that groups and buckets are dealt to, for each of them.
-SPREAD = 4
+#: Bytes of text, as a power of two, for each group and bucket, and partitions that these are dealt to, for each of them.
+GROUP_BITS, SPREAD = 23, 4
 
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -124,14 +127,16 @@ def named_runs(raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _chunks(raw: list[bytes]) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for i, r in enumerate(raw):
-        if size and size + len(r) > CHUNK:
-            yield first, i
-            first, size = i, 0
-        size += len(r)
-    if first < len(raw):
-        yield first, len(raw)
+    return _within(np.fromiter(map(len, raw), np.int64, len(raw)), CHUNK)
+
+
+def _within(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that have at most ``most`` together, or one alone that has more."""
+    ends, first = np.cumsum(size), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield first, last
+        first = last
 
 
 def _six(h: np.ndarray) -> bytes:
@@ -185,6 +190,26 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
+def _trimmed(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run``, after which the worker gives back what it has freed: it lives on, beside others of its executor."""
+
+    def trimmed(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return trimmed
+
+
+def _trimmed_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def trimmed(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        trim()
+        return out
+
+    return trimmed
+
+
 def _names(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame:
     def send(doc: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
         order = np.argsort(h, kind="stable")
@@ -215,6 +240,8 @@ def _names(docs: DataFrame, length: int, buckets: int, groups: int) -> DataFrame
                     docs_, hashes, n = [], [], 0
         if n:
             yield send(np.concatenate(docs_), np.concatenate(hashes))
+        del docs_, hashes
+        trim()
 
     return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(run, NAMES_SQL)
 
@@ -245,20 +272,36 @@ def _repeated_names(names: DataFrame, groups: int, heavy: int) -> DataFrame:
         known = table.filter(pa.array(kind == KNOWN)).select(["part", "docs", "counts", "hashes"])
         return pa.concat_tables([known, pa.Table.from_batches([_batch(rows, NAMES).select(["part", "docs", "counts", "hashes"])])])
 
-    return names.groupBy("to").applyInArrow(run, "part int, docs binary, counts binary, hashes binary")
+    return names.groupBy("to").applyInArrow(_trimmed(run), "part int, docs binary, counts binary, hashes binary")
+
+
+def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return data[start[0] : start[0] + size[0]] if len(start) == 1 else gather(data, start, size)
+
+
+def _slice_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    if len(start) == 1 and size[0] > CHUNK:
+        return np.frombuffer(blake2b(data[start[0] : start[0] + size[0]], digest_size=8).digest(), np.uint64)
+    own = _slices(data, start, size)
+    at = np.cumsum(size) - size
+    power, inverse = _upto(len(own) + 1)
+    sums = np.zeros(len(own) + 1, np.uint64)
+    np.cumsum((own.astype(np.uint64) + np.uint64(1)) * power[: len(own)], out=sums[1:])
+    return mix(mix((sums[at + size] - sums[at]) * inverse[at]) + size.astype(np.uint64))
 
 
 def content_classes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A number for each slice, equal for equal bytes; hashes propose, bytes decide."""
+    """A number for each slice, equal for equal bytes; hashes propose, bytes decide.
+
+    ``CHUNK`` bytes at a time: hashing takes some forty bytes for each of them.
+    """
     if not len(start):
         return np.zeros(0, np.int64)
-    power, inverse = _upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    h = mix(mix((sums[start + size] - sums[start]) * inverse[start]) + size.astype(np.uint64))
+    chunks = list(_within(size, CHUNK))
+    h = np.concatenate([_slice_hashes(data, start[a:b], size[a:b]) for a, b in chunks])
     _, first, cls = np.unique(h, return_index=True, return_inverse=True)
-    same_size = (size[first[cls]] == size).all()
-    if same_size and np.array_equal(gather(data, start, size), gather(data, start[first[cls]], size)):
+    like = first[cls]
+    if (size[like] == size).all() and all(np.array_equal(_slices(data, start[a:b], size[a:b]), _slices(data, start[like[a:b]], size[a:b])) for a, b in chunks):
         return cls
     seen: dict[bytes, int] = {}
     return np.array([seen.setdefault(data[a : a + n].tobytes(), len(seen)) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
@@ -331,6 +374,32 @@ def longest_previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray,
     return out
 
 
+def repeated_runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, name: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that slices of smaller documents have too: slice, first window, number of windows, by slice.
+
+    Equal windows have equal names, so slices of ``CHUNK`` bytes are sorted at a time, those of one name together.
+    """
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    by_name = np.argsort(name, kind="stable")
+    new = _runs(name[by_name])
+    bounds = np.append(new, len(by_name))
+    for a, b in _within(np.add.reduceat(size[by_name], new) if len(new) else new, CHUNK):
+        own = by_name[bounds[a] : bounds[b]]
+        n = size[own] - length + 1
+        first = np.cumsum(n) - n
+        slice_ = np.repeat(np.arange(len(own)), n)
+        nth = np.arange(len(slice_)) - first[slice_]
+        place = nth + (np.cumsum(size[own]) - size[own])[slice_]
+        again = longest_previous_factors(_slices(data, start[own], size[own]), place, doc[own][slice_], length) >= length
+        begins = again.copy()
+        begins[1:] &= ~again[:-1] | (nth[1:] == 0)
+        at = np.flatnonzero(begins)
+        found.append((own[slice_[at]], nth[at], np.bincount(np.cumsum(begins)[again] - 1, minlength=len(at))))
+    which, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(which, kind="stable")
+    return which[order], at[order], n[order]
+
+
 SEGMENTS = pa.schema([("to", pa.int32()), ("part", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("windows", pa.binary()), ("data", pa.binary())])
 SEGMENTS_SQL = "to int, part int, names binary, docs binary, places binary, windows binary, data binary"
 
@@ -383,7 +452,7 @@ def _gone(part: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray,
 def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Ids, texts, and the base of places in each text: 0, or its number among texts of its id in the high bits."""
     ids = table.column("doc_id").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
-    raw = [(t or "").encode() for t in table.column("text").to_pylist()]
+    raw = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     base = np.zeros(len(raw), np.int64)
     if len(np.unique(ids)) < len(ids):
         nth: dict[int, dict[bytes, int]] = {}
@@ -398,7 +467,7 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 def _digests(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """Two 64-bit halves of the BLAKE2b digest of each slice of ``length`` bytes."""
-    raw = data.tobytes()
+    raw = memoryview(data)
     return np.frombuffer(b"".join(blake2b(raw[a : a + length], digest_size=16).digest() for a in start.tolist()), np.uint64).reshape(-1, 2)
 
 
@@ -419,23 +488,23 @@ def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int, heav
             part = right.column("part")[0].as_py()
             has = np.isin(left.column("doc_id").to_numpy(), flagged)
             ids, raw, base = _texts(left.filter(pa.array(has)))
-            doc, place, wins, name, pieces = [], [], [], [], []
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            firsts = np.cumsum(sizes) - sizes
+            pieces = []
             for a, b in _chunks(raw):
-                text, at, n, h, data = named_runs(raw[a:b], length)
-                d = ids[a:b][text]
+                text, at, n, h, _ = named_runs(raw[a:b], length)
+                text = text.astype(np.int64) + a
+                d = ids[text]
                 key = mix(h >> MIX48) + d.view(np.uint64) * np.uint64(BASE)
                 i = np.searchsorted(known, key)
                 hit = known[np.minimum(i, len(known) - 1)] == key
                 text, at, n, h, d = text[hit], at[hit], n[hit], h[hit], d[hit]
-                first = np.concatenate([[0], np.cumsum([len(r) for r in raw[a:b]])])[:-1]
-                pieces.append(gather(data, first[text] + at, n + length - 1))
-                doc.append(d)
-                place.append(at + base[a:b][text])
-                wins.append(n)
-                name.append(h)
-            doc, place, wins, name, data = (np.concatenate(x) for x in (doc, place, wins, name, pieces))
+                pieces.append((d, at + base[text], n, h, firsts[text] + at))
+            doc, place, wins, name, start = (np.concatenate(x) for x in zip(*pieces, strict=True))
+            del raw, pieces
+            # Slices overlap by all but their windows, so they are looked at where they stand and copied when sent.
             size = wins + length - 1
-            start = np.cumsum(size) - size
             cls = content_classes(data, start, size)
             least = np.full(cls.max(initial=-1) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, cls, doc)
@@ -443,11 +512,13 @@ def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int, heav
             rows += _gone(np.full(int(late.sum()), part), doc[late], place[late], place[late] + size[late], buckets)
             rare = ~np.isin(name >> MIX48, heavy)
             wide = np.flatnonzero(~late & ~rare)
-            if len(wide):
-                at = gather(np.arange(len(data)), start[wide], wins[wide])
-                owner = np.repeat(wide, wins[wide])
-                where, whose = place[owner] + at - start[owner], doc[owner]
-                digest = _digests(data, at, length)
+            wide = wide[np.argsort(name[wide], kind="stable")]  # equal windows have equal names and come together
+            for a, b in _within(wins[wide], WIDE):
+                own = wide[a:b]
+                owner = np.repeat(own, wins[own])
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(wins[own]) - wins[own], wins[own])
+                where, whose = place[owner] + nth, doc[owner]
+                digest = _digests(data, start[owner] + nth, length)
                 order = np.lexsort((whose, digest[:, 1], digest[:, 0]))
                 where, whose, digest = where[order], whose[order], digest[order]
                 new = np.concatenate([[True], (digest[1:] != digest[:-1]).any(1)])
@@ -457,8 +528,8 @@ def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int, heav
                 where, whose, digest = where[~again], whose[~again], digest[~again]
                 bucket = (mix(digest[:, 0]) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                for a, b in _ranges(bucket[order]):
-                    k = order[a:b]
+                for c, d in _ranges(bucket[order]):
+                    k = order[c:d]
                     rows.append((int(bucket[k[0]]), part, _six(digest[k, 0] >> MIX48), _z(whose[k]), _z(where[k]), _z(np.zeros(len(k), np.int64)), _z(digest[k].view(np.uint8).ravel())))
             ask = np.flatnonzero(~late & rare)
             bucket = (mix(name[ask]) % np.uint64(buckets)).astype(np.int64)
@@ -469,7 +540,7 @@ def _segments(docs: DataFrame, flags: DataFrame, length: int, buckets: int, heav
                 rows.append((int(bucket[a]), part, _six(name[k] >> MIX48), _z(doc[k]), _z(place[k]), _z(wins[k].astype(np.int64)), _z(gather(data, start[k], size[k]))))
         return pa.Table.from_batches([_batch(rows, SEGMENTS)])
 
-    return docs.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(run, SEGMENTS_SQL)
+    return docs.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_trimmed_pair(run), SEGMENTS_SQL)
 
 
 def _settled(asked: DataFrame, length: int) -> DataFrame:
@@ -503,29 +574,22 @@ def _settled(asked: DataFrame, length: int) -> DataFrame:
         _, of_name, per_name = np.unique(name[rep], return_inverse=True, return_counts=True)
         many = rep[(per_name[of_name] > 1) & ~windows_only[rep]] if n else rep
         if len(many):
-            text = gather(data, start[many], size[many])
-            at = np.cumsum(size[many]) - size[many]
-            places = gather(np.arange(len(text)), at, wins[many])
-            owner = np.repeat(np.arange(len(many)), wins[many])
-            found = longest_previous_factors(text, places, doc[many][owner], length) >= length
-            if found.any():
-                # All first copies of a content, also further ones in its least document.
-                spot = np.full(n, -1, np.int64)
-                spot[cls[many]] = np.arange(len(many))
-                flags, offsets = found, np.cumsum(wins[many]) - wins[many]
-                copies = first[spot[cls[first]] >= 0]
-                s = spot[cls[copies]]
-                w = wins[copies]
-                ok = gather(flags, offsets[s], w)
-                k = np.repeat(np.arange(len(copies)), w)
-                off = np.arange(len(k)) - np.repeat(np.cumsum(w) - w, w)
-                k, off = k[ok], off[ok]
-                p = place[copies][k] + off
-                out.append((part[copies][k], doc[copies][k], p, p + length))
+            which, at, count = repeated_runs(data, start[many], size[many], name[many], doc[many], length)
+            # All first copies of a content, also further ones in its least document.
+            spot = np.full(n, -1, np.int64)
+            spot[cls[many]] = np.arange(len(many))
+            copies = first[spot[cls[first]] >= 0]
+            s = spot[cls[copies]]
+            lo = np.searchsorted(which, s, "left")
+            times = np.searchsorted(which, s, "right") - lo
+            k = np.repeat(copies, times)
+            r = np.arange(len(k)) + np.repeat(lo - (np.cumsum(times) - times), times)
+            p = place[k] + at[r]
+            out.append((part[k], doc[k], p, p + count[r] - 1 + length))
         settled = pa.Table.from_batches([_batch(_gone(*(np.concatenate(x) for x in zip(*out, strict=True))), SEGMENTS)])
         return pa.concat_tables([passed, settled.select(["part", "docs", "places", "windows"])])
 
-    return asked.groupBy("to").applyInArrow(run, "part int, docs binary, places binary, windows binary")
+    return asked.groupBy("to").applyInArrow(_trimmed(run), "part int, docs binary, places binary, windows binary")
 
 
 def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -547,7 +611,7 @@ def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
             rows.append((d if ok else None, len(r), len(r) - len(kept), len(s), kept, [x for se in zip(s, e, strict=True) for x in se]))
         return pa.Table.from_batches([_batch(rows, out)])
 
-    return docs.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
+    return docs.groupBy("part").cogroup(gone.groupBy("part")).applyInArrow(_trimmed_pair(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -559,15 +623,16 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be greater than {SEED}")
     spark = docs.sparkSession
     bound_batches(spark)
-    weight = plan_bytes(docs)
-    buckets, groups = max(64, weight >> 22), max(128, weight >> 22)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # By the bytes of the texts: files may be any number of times smaller.
+    n_docs, weight = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets, groups = max(64, weight >> GROUP_BITS), max(128, weight >> GROUP_BITS)
     part: Column = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(groups).cast("long"))
     part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(groups).cast("long"))).otherwise(part)
     # More partitions than groups: hardly any task has several groups, and empty ones cost next to nothing.
     placed = docs.withColumn("part", part.cast("int")).repartition(SPREAD * groups, "part")
     # Of all names, HEAVY_SHARE bounds how many are heavy: one in 20,000 documents, some hundred names a document.
-    heavy = max(HEAVY, int(docs.count() * HEAVY_SHARE))
+    heavy = max(HEAVY, int(n_docs * HEAVY_SHARE))
     names = _names(docs, length, buckets, groups).repartition(SPREAD * buckets, "to")
     flags = Table(_repeated_names(names, groups, heavy), "names").df
     found = [_from_six(bytes(r["hashes"])) for r in flags.filter("part = -1").select("hashes").toLocalIterator()]

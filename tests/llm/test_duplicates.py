@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -200,6 +202,57 @@ def test_previous_factors_equal_their_definition():
     assert len(suffixdedup.longest_previous_factors(data, at[:0], doc[:0], 50)) == 0
 
 
+def test_classes_take_memory_by_the_chunk():
+    data = np.random.default_rng(8).integers(0, 256, 8 << 20).astype(np.uint8)
+    size = np.full(len(data) // 512, 512)
+    start = np.cumsum(size) - size
+    data[start[-1] :] = data[start[3] : start[4]]
+    tracemalloc.start()
+    try:
+        cls = suffixdedup.content_classes(data, start, size)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cls[-1] == cls[3] and len(np.unique(cls)) == len(cls) - 1
+    assert most < 6 * len(data) and len(suffixdedup._powers[0]) <= 1 << 20
+
+
+def test_classes_of_slices_above_the_chunk(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "CHUNK", 64)
+    data = np.frombuffer(b"ab" * 50 + b"ab" * 50 + b"c" * 30 + b"ab" * 49 + b"xx" + b"c" * 30, np.uint8)
+    size = np.array([100, 100, 30, 100, 30])
+    cls = suffixdedup.content_classes(data, np.cumsum(size) - size, size).tolist()
+    assert cls[0] == cls[1] and cls[2] == cls[4] and len(set(cls)) == 3
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 19])
+def test_repeated_runs_equal_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(suffixdedup, "CHUNK", chunk)
+    rng = random.Random(9)
+    slices = ["".join(rng.choices("ab", k=rng.randrange(12, 40))).encode() for _ in range(60)]
+    name, doc = [rng.randrange(7) for _ in slices], [rng.randrange(20) for _ in slices]
+    size = np.array([len(x) for x in slices])
+    got = set()
+    for i, p, n in zip(*suffixdedup.repeated_runs(np.frombuffer(b"".join(slices), np.uint8), np.cumsum(size) - size, size, np.array(name), np.array(doc), 8)):
+        new = {(i, q) for q in range(p, p + n)}
+        assert n > 0 and not got & new
+        got |= new
+    # Names are given at random here: those of one name must be compared, those of one chunk may be.
+    near = {(i, p) for i, x in enumerate(slices) for p in range(len(x) - 7) if any(doc[j] < doc[i] and name[j] == name[i] and x[p : p + 8] in y for j, y in enumerate(slices))}
+    far = {(i, p) for i, x in enumerate(slices) for p in range(len(x) - 7) if any(doc[j] < doc[i] and x[p : p + 8] in y for j, y in enumerate(slices))}
+    assert near <= got <= far and (chunk > 1 or got == near) and near
+
+
+def test_groups_go_by_the_bytes_of_texts_not_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "GROUP_BITS", 15)
+    monkeypatch.setattr(suffixdedup, "SPREAD", 1)
+    path = str(tmp_path / "documents.parquet")
+    spark.range(320).selectExpr("id AS doc_id", "repeat('a', 16384) AS text").coalesce(1).write.parquet(path)
+    out = suffixdedup.remove_repeats(spark.read.parquet(path), 50)
+    assert re.search(r"RepartitionByExpression \[part#\d+\], 160\b", out._jdf.queryExecution().analyzed().toString())
+    assert sum(r.n_removed for r in out.select("n_removed").collect()) == 319 * 16384
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit("clash"))
 
